@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakemill.llm.media import op9_media
+from lakemill.llm.mixing import OP10_SQL, op10_mixing
 from lakemill.llm.packing import op1_packing
+from lakemill.llm.topk import OP4_SQL, op4_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_topk": op4_topk,
+    "op9_media": op9_media,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_topk": OP4_SQL,
+    "op10_mixing": OP10_SQL,
+}
