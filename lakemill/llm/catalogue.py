@@ -10,9 +10,11 @@ from lakemill.llm.media import op9_media
 from lakemill.llm.mixing import OP10_SQL, op10_mixing
 from lakemill.llm.packing import op1_packing
 from lakemill.llm.topk import OP4_SQL, op4_topk
+from lakemill.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_topk": op4_topk,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
