@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakemill.llm.jaccard import OP5_SQL, op5_jaccard
 from lakemill.llm.media import op9_media
 from lakemill.llm.mixing import OP10_SQL, op10_mixing
 from lakemill.llm.packing import op1_packing
@@ -16,11 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_toxicity": op3_toxicity,
     "op4_topk": op4_topk,
+    "op5_jaccard": op5_jaccard,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op4_topk": OP4_SQL,
+    "op5_jaccard": OP5_SQL,
     "op10_mixing": OP10_SQL,
 }

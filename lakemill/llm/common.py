@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared scratch folder, table reads and bounded tree sums."""
+"""What the corpus operators share: the shared scratch folder, table reads and bounded tree merges."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -46,13 +47,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tree_sum(blobs: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """Sums one-column rows that hold arrays of ``size`` numbers as bytes, in a tree; the result has a fixed size."""
+def tree_merge(blobs: DataFrame, dtype: str, size: int, merge: np.ufunc = np.add) -> np.ndarray:
+    """Merges one-column rows that hold arrays of ``size`` numbers as bytes, in a tree; the result has a fixed size."""
 
-    def add(a: bytes, b: bytes) -> bytes:
-        return (np.frombuffer(a, dtype) + np.frombuffer(b, dtype)).tobytes()
+    def both(a: bytes, b: bytes) -> bytes:
+        return merge(np.frombuffer(a, dtype), np.frombuffer(b, dtype)).tobytes()
 
     rows = blobs.rdd.map(lambda r: bytes(r[0]))
-    if rows.getNumPartitions() == 0 or rows.isEmpty():
-        return np.zeros(size, dtype)
-    return np.frombuffer(rows.treeReduce(add, depth=3), dtype)
+    zero = np.zeros(size, dtype).tobytes()
+    return np.frombuffer(rows.treeAggregate(zero, both, both, depth=3) if rows.getNumPartitions() else zero, dtype)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u, v): the smallest node that links reach.
+
+    Alternates large and small stars until no edge changes. Minima are aggregated before the shuffle and joined
+    back, so that a hub's edges can be split among tasks; each round ends in a table in the shared folder.
+    """
+    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            break
+        before = now
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        after = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        drop(edges)
+        edges = after
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct())
