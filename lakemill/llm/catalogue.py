@@ -11,6 +11,8 @@ from lakemill.llm.media import op9_media
 from lakemill.llm.mixing import OP10_SQL, op10_mixing
 from lakemill.llm.packing import op1_packing
 from lakemill.llm.pii import op8_pii
+from lakemill.llm.quality import op6_quality
+from lakemill.llm.suffixes import op7_suffixes
 from lakemill.llm.topk import OP4_SQL, op4_topk
 from lakemill.llm.toxicity import op3_toxicity
 
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_topk": op4_topk,
     "op5_jaccard": op5_jaccard,
+    "op6_quality": op6_quality,
+    "op7_suffixes": op7_suffixes,
     "op8_pii": op8_pii,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
