@@ -13,11 +13,13 @@ from lakemill.llm.packing import op1_packing
 from lakemill.llm.pii import op8_pii
 from lakemill.llm.quality import op6_quality
 from lakemill.llm.suffixes import op7_suffixes
+from lakemill.llm.toolcalls import op2_toolcalls
 from lakemill.llm.topk import OP4_SQL, op4_topk
 from lakemill.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_toolcalls": op2_toolcalls,
     "op3_toxicity": op3_toxicity,
     "op4_topk": op4_topk,
     "op5_jaccard": op5_jaccard,
