@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,9 +160,13 @@ def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """
     kept = common.cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "texts")
     found = find(kept.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text")), support)
-    marks = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("by"))) for k in KINDS]
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["remove"], F.lit("")).otherwise(F.lit("[TERM]")).alias("by")))
-    spans = found.select("row", F.sort_array(F.concat(*marks, terms)).alias("spans")).where(F.size("spans") > 0)
+
+    def marks(spans: str, by: Callable[[Column], Column]) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
+
+    base = [marks(k, lambda _, k=k: F.lit(f"[{k.upper()}]")) for k in KINDS]
+    terms = marks("terms", lambda s: F.when(s["remove"], F.lit("")).otherwise(F.lit("[TERM]")))
+    spans = found.select("row", F.sort_array(F.concat(*base, terms)).alias("spans")).where(F.size("spans") > 0)
     joined = kept.join(common.cut(spans, "spans"), "row", "left")
     text = F.col("doc.text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
