@@ -1,10 +1,6 @@
-"""The query catalogue: a DataFrame plan and an oracle statement under each name."""
+"""The query catalogue: importing the plans registers them."""
 
-from __future__ import annotations
+from lakemill.plans import relational
+from lakemill.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "relational"]
