@@ -1,6 +1,6 @@
 """The query catalogue: importing the plans registers them."""
 
-from lakemill.plans import ecommerce, relational
+from lakemill.plans import ecommerce, medallion, relational, storage
 from lakemill.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ecommerce", "relational"]
+__all__ = ["ORACLES", "QUERIES", "ecommerce", "medallion", "relational", "storage"]
