@@ -25,7 +25,7 @@ def ingest_drifting_csv(spark: SparkSession, source: str, target: str, checkpoin
 
     A batch overwrites its own folder, so a batch that runs again after a failure adds nothing twice.
     """
-    seen = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv").load(source).select("path")
+    seen = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.csv").load(source).select("path")
 
     def land(batch: DataFrame, number: int) -> None:
         from lakemill.sources.files import read_drifting_csv
