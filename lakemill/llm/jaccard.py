@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +12,15 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakemill.llm import common
 
-#: Counters of the frequency sketch, 2 to this power; its size is fixed, whatever the corpus.
-SKETCH_BITS = 20
+#: Sizes of sets go in bands, each at most this share of the next; it must be below the threshold.
+BAND = 0.75
+#: Signatures that a task merges at once.
+MERGED = 8_000_000
 #: Bits of the candidates' bitmap, 2 to this power.
 MAP_BITS = 23
 #: Shingles that one search task indexes at most, about; larger candidate groups are searched chunk against chunk.
@@ -186,116 +189,178 @@ def search(sets: list[np.ndarray], percent: int) -> list[int]:
     return [least.setdefault(links.find(i), i) for i in range(len(sets))]
 
 
-def shingle_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node, shingles): the set's size and 128-bit digest; a task writes equal sets once.
+class Signatures:
+    """Signatures of which two sets share one at least if they link.
 
-    Rows without words have no node.
+    Sets that link differ in at most D = (n1 + n2) * (100 - percent) / (100 + percent) shingles. Cut by ranges of
+    the shingles' hashes into D + 1 + s parts, they agree in s + 1 parts or more, so one is left even if either set
+    leaves out its s / 2 smallest, which are the least telling. A signature stands for the content of one part.
+    D holds for all sizes of a band; pairs across two neighbouring bands have signatures of their own.
     """
 
+    def __init__(self, percent: int):
+        self.percent, self.starts = percent, [1]
+        ratio = min(BAND, 0.95 * percent / 100)
+        while self.starts[-1] < 1 << 40:
+            self.starts.append(max(self.starts[-1] + 1, math.ceil(self.starts[-1] / ratio)))
+        self.plans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int] | None] = {}
+
+    def plan(self, band: int, across: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Bounds of the parts, a number for each part, and how many parts a set leaves out; None if none can link."""
+        if (band, across) not in self.plans:
+            top = self.starts[band + 1] - 1
+            most = (top + (top * 100 // self.percent if across else top)) * (100 - self.percent) // (100 + self.percent)
+            if most:
+                left_out = max(1, round(0.1 * most))
+                parts = most + 1 + 2 * left_out
+                bounds = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
+                names = _mix(np.arange(parts, dtype=np.uint64) + np.uint64((2 * band + across) << 32))
+                self.plans[band, across] = bounds, names, left_out
+            else:
+                self.plans[band, across] = None  # equal sets only, and those are one node
+        return self.plans[band, across]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        n = len(h)
+        band = bisect_right(self.starts, n) - 1
+        kinds = [(band, 0)]
+        if n * 100 // self.percent >= self.starts[band + 1]:
+            kinds.append((band, 1))
+        if band and -(-n * self.percent // 100) < self.starts[band]:
+            kinds.append((band - 1, 1))
+        total, out = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h), dtype=np.uint64)]), []
+        for kind in kinds:
+            if plan := self.plan(*kind):
+                bounds, names, left_out = plan
+                ends = np.concatenate([[0], np.searchsorted(h, bounds), [n]])
+                kept = np.argpartition(np.diff(ends), left_out)[left_out:]
+                out.append(_mix(total[ends[kept + 1]] - total[ends[kept]] + names[kept]))
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text): the key is a hash of doc_id that a null has as well."""
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def shingle_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, doc_id, n, node, short, signatures): the set's size and 128-bit digest, and half of that as a number.
+
+    A task writes the signatures of equal sets once. Rows without words have no node.
+    """
+    names = ["key", "doc_id", "n", "node", "short", "signatures"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        signatures, seen = Signatures(percent), set()
         for batch in batches:
-            n, nodes, sets = [], [], []
-            for raw in batch.column(1):
+            n, nodes, shorts, told = [], [], [], []
+            for raw in batch.column(2):
                 s = shingles(raw.as_py() or b"", k)
                 node = xxhash.xxh3_128_digest(s) if len(s) else None
                 n.append(len(s))
                 nodes.append(node)
-                sets.append(s.astype("<u8").tobytes() if node and node not in seen else None)
+                shorts.append(int.from_bytes(node[:8], "little", signed=True) if node else None)
+                told.append(signatures.of(s).tobytes() if node and node not in seen else None)
                 seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "n", "node", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, n long, node binary, shingles binary")
-    return common.cut(found, "shingles", compression="none", **{"parquet.enable.dictionary": "false"})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64()), pa.array(told, pa.binary())], names)
 
+    found = _texts(docs).mapInArrow(run, "key long, doc_id long, n long, node binary, short long, signatures binary")
+    return common.cut(found, "shingles", **{"parquet.enable.dictionary": "false"})
 
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """How many shingles fall on each counter of a fixed number of counters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            flat = [np.frombuffer(s.as_buffer(), "<u8") for s in batch.column(0)]
-            if flat:
-                total += np.bincount((np.concatenate(flat) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<u4").tobytes()])], ["sketch"])
-
-    return common.tree_merge(sets.select("shingles").mapInArrow(run, "sketch binary"), "<u4", 1 << SKETCH_BITS)
 
+def _shared(table: DataFrame, within: bool) -> DataFrame:
+    """Signatures merged within each task: (u, v) of nodes that share one, or else (signature, u) with the first node.
 
-def postings(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(shingle, node) for the rarest n - ceil(n * percent / 100) + 1 shingles of each set, by the sketch.
-
-    Two sets that link share one of these, since both order shingles alike.
+    So a signature of a very common set leaves a task once, however many sets there have it.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS counters
+
+    def merged(signature: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((node, signature))
+        signature, node = signature[order], node[order]
+        first = np.concatenate([[True], signature[1:] != signature[:-1]])[: len(signature)]
+        if not within:
+            return pa.RecordBatch.from_arrays([pa.array(signature[first].view(np.int64)), pa.array(node[first])], ["signature", "u"])
+        lead = node[first][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack([node, lead], axis=1)[node != lead], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = shared.value
+        signatures, nodes, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
         for batch in batches:
-            out, sizes = [np.empty(0, np.int64)], []
-            for s in batch.column(1):
-                h = np.frombuffer(s.as_buffer(), "<u8")
-                p = len(h) - -(-len(h) * percent // 100) + 1
-                out.append(h[np.argsort(counter[h >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:p]].view(np.int64))
-                sizes.append(p)
-            nodes = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), nodes], ["shingle", "node"])
+            short = batch.column(0).to_numpy()
+            for node, s in zip(short, batch.column(1), strict=True):
+                signatures.append(np.frombuffer(s.as_buffer(), "<u8") if len(s.as_buffer()) else np.empty(0, np.uint64))
+                nodes.append(np.full(len(signatures[-1]), node))
+                held += len(signatures[-1])
+            if held > MERGED:
+                yield merged(np.concatenate(signatures), np.concatenate(nodes))
+                signatures, nodes, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        yield merged(np.concatenate(signatures), np.concatenate(nodes))
+
+    rows = table.where("signatures IS NOT NULL").select("short", "signatures")
+    return rows.mapInArrow(run, "u long, v long" if within else "signature long, u long")
+
 
-    return sets.select("node", "shingles").mapInArrow(run, "shingle long, node binary")
+def candidates(table: DataFrame) -> DataFrame:
+    """(short, root): groups of sets that shared signatures connect; sets that link are in one group."""
+    by_signature = W.partitionBy("signature")
+    between = _shared(table, within=False).withColumn("v", F.min("u").over(by_signature)).where("u <> v").select("u", "v")
+    found = common.components(between.unionAll(_shared(table, within=True)))
+    return common.cut(found.select(F.col("node").alias("short"), "root"), "groups")
 
 
-def _place(node: bytes) -> int:
-    return int.from_bytes(node[:4], "little") >> (32 - MAP_BITS)
+def _place(key: np.ndarray) -> np.ndarray:
+    return key.view(np.uint64) >> np.uint64(64 - MAP_BITS)
 
 
-def bitmap(nodes: DataFrame) -> np.ndarray:
+def bitmap(keys: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << MAP_BITS, bool)
         for batch in batches:
-            bits[[_place(x) for x in batch.column(0).to_pylist()]] = True
+            bits[_place(batch.column(0).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], ["bits"])
 
-    return common.tree_merge(nodes.select("node").mapInArrow(run, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
+    return common.tree_merge(keys.select("key").mapInArrow(run, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
 
 
-def links(sets: DataFrame, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(node, root) for every set that links to another: the smallest node of its component."""
-    posted = common.cut(postings(sets, frequencies(sets), percent), "postings")
-    shared = posted.groupBy("shingle").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("shingle", "m")
-    stars = posted.join(shared, "shingle").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
-    groups = common.cut(common.components(stars), "groups")
-    common.drop(posted)
-    marked = sets.sparkSession.sparkContext.broadcast(bitmap(groups))  # 2 ** MAP_BITS bits
+def links(docs: DataFrame, table: DataFrame, k: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(node, root) for every set that links to another: the smallest node of its component.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marked.value)
-        for batch in batches:
-            yield batch.filter(pa.array([bool(bits[_place(x)]) for x in batch.column(0).to_pylist()], pa.bool_()))
+    The shingles of candidates alone are made once more, from one document for each set.
+    """
+    groups = candidates(table)
+    one = table.where("signatures IS NOT NULL").select("short", "node", "n", "key").join(groups, "short")
+    one = common.cut(one.groupBy("node").agg(F.min("key").alias("key"), F.first("root").alias("root"), F.first("n").alias("n")), "candidates")
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(one))  # 2 ** MAP_BITS bits
 
-    members = sets.select("node", "n", "shingles").mapInArrow(keep, "node binary, n long, shingles binary")
-    members = common.cut(members.dropDuplicates(["node"]).join(groups, "node"), "members", compression="none")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    chunks = members.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("chunks"))
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(marked.value).view(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[_place(batch.column(0).to_numpy())]))
+            sets = [shingles(raw.as_py() or b"", k) for raw in batch.column(1)]
+            nodes = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "node", "shingles"])
+
+    members = _texts(docs).select("key", "text").mapInArrow(again, "key long, node binary, shingles binary")
+    chunks = common.cut(one.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("chunks")), "chunks")
+    total = one.agg(F.sum("n")).first()[0] or 0
     many = F.transform(F.sequence(F.lit(0), F.col("chunks") - 2), lambda i: F.when(i < F.col("chunk"), i).otherwise(i + 1))
     pairs = F.transform(many, lambda j: F.struct(F.least(j, F.col("chunk")).alias("i"), F.greatest(j, F.col("chunk")).alias("j")))
     alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    bins = max(1, math.ceil(total / block))
-    dealt = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    dealt = one.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     dealt = dealt.withColumn("pair", F.explode(F.when(F.col("chunks") > 1, pairs).otherwise(alone)))
-    key = F.when(F.col("chunks") > 1, F.xxhash64("root", "pair")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins)))
-    dealt = dealt.select(key.alias("task"), "root", F.col("pair.i"), F.col("pair.j"), "node", "shingles")
+    task = F.when(F.col("chunks") > 1, F.xxhash64("root", "pair")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / block)))))
+    dealt = dealt.select("node", "key", "root", task.alias("task"), F.col("pair.i"), F.col("pair.j"))
+    dealt = members.join(dealt, ["node", "key"]).select("task", "root", "i", "j", "node", "shingles")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in frame.groupby(["root", "i", "j"]):
-            nodes = part["node"].to_numpy()
-            order = sorted(range(len(nodes)), key=nodes.__getitem__)
-            sets = [np.frombuffer(part["shingles"].iat[i], "<u8") for i in order]
-            found = search(sets, percent)
+            part = part.drop_duplicates("node").sort_values("node")
+            nodes = part["node"].tolist()
+            found = search([np.frombuffer(x, "<u8") for x in part["shingles"]], percent)
             sizes = np.bincount(found)
-            out += [(nodes[order[i]], nodes[order[f]]) for i, f in enumerate(found) if sizes[f] > 1]
+            out += [(nodes[i], nodes[f]) for i, f in enumerate(found) if sizes[f] > 1]
         return pd.DataFrame(out, columns=["u", "v"])
 
     found = common.cut(dealt.groupBy("task").applyInPandas(run, "u binary, v binary"), "found")
@@ -308,18 +373,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     """One row per document of ``docs`` (doc_id, text): doc_id, n_shingles and component_id.
 
     Documents link when the Jaccard similarity of their sets of k-word shingles reaches percent/100; component_id is
-    the smallest doc_id that links reach. Equal sets are one node, so copies are never paired. Sets that share one
-    of their rarest shingles form candidate groups; each group is searched exactly, and a group too large for a task
-    is cut into chunks that are searched pair by pair. Frequencies, candidates and links cover the whole corpus;
-    only a sketch and a bitmap of fixed size are sent to all tasks.
+    the smallest doc_id that links reach. Equal sets are one node, so copies are never paired. Sets that share a
+    signature form candidate groups, which no link leaves; each group is searched exactly, and a group too large for
+    a task is cut into chunks that are searched pair by pair. Signatures, candidates and links cover the whole
+    corpus; only a bitmap of fixed size is sent to all tasks.
 
     Defined results: words end at ASCII white space and A-Z are lower-cased; a text of fewer than k words is one
     shingle; a null or empty text has none and is linked with nothing; repeated rows link as copies do; a null
     doc_id is never a component's smallest; an empty table gives no rows; other columns are ignored.
     """
-    table = shingle_table(docs, k)
+    table = shingle_table(docs, k, percent)
     rows = table.select("doc_id", "n", "node")
-    linked = links(table.where("shingles IS NOT NULL"), percent, block).withColumnRenamed("root", "top")
+    linked = links(docs, table, k, percent, block).withColumnRenamed("root", "top")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
     nodes = nodes.select("node", "least", F.coalesce("top", "node").alias("top"))
     tops = nodes.groupBy("top").agg(F.min("least").alias("component_id"))
