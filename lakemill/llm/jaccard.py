@@ -392,6 +392,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that have a smaller doc_id in their component; a null doc_id stays.
+
+    Rows that share a doc_id stay or go together.
+    """
+    found = near_duplicates(docs, k, percent)
+    gone = common.cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=3, percent=90)
 
