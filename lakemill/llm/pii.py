@@ -27,6 +27,7 @@ SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
+TERM = r"(?<=[^\p{L}0-9@._%+-])\p{L}{3,}+(?=\P{L})(?![._%+-]*+[0-9A-Za-z@])"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -95,20 +96,19 @@ def _words(context: Column, origin: Column, pattern: str) -> Column:
 
 
 def contexts(base: DataFrame) -> DataFrame:
-    """(row, entity, term, start, end) for the words near each span that overlap no span themselves.
+    """(row, entity, term, start, end) for the words near each span.
 
-    A word that the edge of the context may have cut is left out.
+    Words that are joined to digits or to signs of an address are left out, so none overlaps a span, and so are
+    words that the edge of the context may have cut. Each span goes its own way, however many a text has.
     """
-    spans = base.select("row", F.concat(*KINDS).alias("all")).where(F.size("all") > 0)
-    spans = spans.select("row", F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("taken"), F.explode("all").alias("s"))
+    spans = base.select("row", F.explode(F.concat(*KINDS)).alias("s"))
     whole = lambda c: F.length(c) < CONTEXT
     before = F.when(whole(F.col("s.before")), F.concat(F.lit(" "), F.col("s.before"))).otherwise(F.col("s.before"))
     after = F.when(whole(F.col("s.after")), F.concat(F.col("s.after"), F.lit(" "))).otherwise(F.col("s.after"))
-    left = F.reverse(F.slice(F.reverse(_words(before, F.col("s.start") - F.length(before), r"(?<=\P{L})\p{L}{3,}+")), 1, NEAREST))
-    right = F.slice(_words(after, F.col("s.end"), r"\p{L}{3,}+(?=\P{L})"), 1, NEAREST)
-    near = spans.select("row", "taken", F.xxhash64("s.kind", F.lower("s.hit")).alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-    clear = ~F.exists("taken", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    return near.where(clear).select("row", "entity", F.xxhash64("w.word").alias("term"), "w.start", "w.end")
+    left = F.reverse(F.slice(F.reverse(_words(before, F.col("s.start") - F.length(before), TERM)), 1, NEAREST))
+    right = F.slice(_words(after, F.col("s.end"), TERM), 1, NEAREST)
+    near = spans.select("row", F.xxhash64("s.kind", F.lower("s.hit")).alias("entity"), F.explode(F.concat(left, right)).alias("w"))
+    return near.select("row", "entity", F.xxhash64("w.word").alias("term"), "w.start", "w.end")
 
 
 def disclosing(rows: DataFrame, near: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
