@@ -123,9 +123,8 @@ def disclosing(rows: DataFrame, near: DataFrame, support: int = SUPPORT, thresho
     entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = common.cut(pairs.join(entities, "entity"), "pairs")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))
-    terms = common.cut(pairs.select("term").distinct(), "terms")
     every = rows.select(F.explode(words).alias("word")).select(F.xxhash64("word").alias("term"))
-    counts = every.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     content = F.log(F.lit(float(max(n, 2))) / F.col("n_entity"))
     ratio = F.when(content > 0, 1 - F.log(F.greatest(F.col("n_term") / F.col("n_pair"), F.lit(1.0))) / content).otherwise(F.lit(0.0))
     return pairs.join(counts, "term").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
