@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,25 @@ def scratch(spark: SparkSession) -> str:
     return spark._lakemill_scratch
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application.
+
+    Functions in tasks are found by module name, so a worker must be able to import the package wherever it starts.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_lakemill_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    files = sorted((root / "lakemill").rglob("*.py"))
+    name = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
+    path = Path(tempfile.mkdtemp(prefix="lakemill-")) / f"lakemill-{name}.zip"  # served to executors by the driver
+    with zipfile.ZipFile(path, "w") as z:
+        for p in files:
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(path))
+    context._lakemill_shipped = True
+
+
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it again.
 

@@ -15,7 +15,8 @@ from lakemill.llm.jaccard import _mix, gram_hashes, word_hashes
 
 #: Words of the shortest passage that is found, and of the runs among which minimisers are selected.
 PASSAGE = 50
-GRAM = 8
+#: Words of the grams that minimisers are chosen from: the longer, the fewer anchors do edited copies share.
+GRAM = 32
 #: Bits of the map of repeated anchors, 2 to this power.
 MAP_BITS = 24
 #: Runs whose minimisers are selected at once.
@@ -86,7 +87,9 @@ def repeated_anchors(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -
 
 
 def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """(content, doc_id, at): the runs of ``length`` words around anchors that the corpus repeats.
+    """(content, doc_id, at, own): the runs of ``length`` words around anchors that the corpus repeats.
+
+    ``own`` marks the first of a document's equal runs.
 
     A repeated run has its minimiser at the same place in each copy, so it is kept with all its copies; the runs
     around anchors that occur once are not repeated and stay in their task.
@@ -96,7 +99,7 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            content, places, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+            content, places, own, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)], []
             for raw in batch.column(1):
                 words = word_hashes(raw.as_py() or b"")
                 n = 0
@@ -106,11 +109,13 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
                     n = len(places[-1])
                     if n:
                         content.append(passage_hashes(words, length)[places[-1]])
+                        own.append(np.zeros(n, bool))
+                        own[-1][np.unique(content[-1], return_index=True)[1]] = True
                 rows.append(n)
             owners = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(content).view(np.int64)), owners, pa.array(np.concatenate(places))], ["content", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(content).view(np.int64)), owners, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(own))], ["content", "doc_id", "at", "own"])
 
-    return _texts(docs).mapInArrow(run, "content long, doc_id long, at long")
+    return _texts(docs).mapInArrow(run, "content long, doc_id long, at int, own boolean")
 
 
 def repeats(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -131,13 +136,13 @@ def repeats(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFra
     ignored.
     """
     found = common.cut(suffixes(docs, length, gram), "suffixes")
-    place = F.struct("doc_id", "at")
-    again = found.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("earliest")).where("n > 1").select("content", "earliest")
-    matched = found.join(again, "content").select("doc_id", "at", (F.col("earliest.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("earliest.at") == F.col("at"))).alias("first"))
+    again = found.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("content", "least")
+    matched = found.join(again, "content").select("doc_id", "at", (F.col("least").eqNullSafe(F.col("doc_id")) & F.col("own")).alias("first"))
     by_place = W.partitionBy("doc_id", "first").orderBy("at")
     opens = (F.col("at") > F.lag("at").over(by_place) + length) | F.lag("at").over(by_place).isNull()
     numbered = matched.withColumn("opens", opens.cast("int")).withColumn("passage", F.sum("opens").over(by_place.rowsBetween(W.unboundedPreceding, 0)))
     spans = numbered.groupBy("doc_id", "first", "passage").agg(F.min("at").alias("start_word"), (F.max("at") + length).alias("end_word"))
+    spans = spans.withColumns({c: F.col(c).cast("long") for c in ("start_word", "end_word")})
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first")
 
 
