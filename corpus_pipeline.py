@@ -46,6 +46,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written as Parquet and read again for the next."""
+    common.ship(spark)
     docs = common.table(spark, sf_dir, "documents")
     base = f"{common.scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
