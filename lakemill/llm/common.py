@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import tempfile
 import uuid
 import zipfile
@@ -36,12 +37,15 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parents[2]
     files = sorted((root / "lakemill").rglob("*.py"))
-    name = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
-    path = Path(tempfile.mkdtemp(prefix="lakemill-")) / f"lakemill-{name}.zip"  # served to executors by the driver
-    with zipfile.ZipFile(path, "w") as z:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
         for p in files:
-            z.write(p, p.relative_to(root))
-    context.addPyFile(str(path))
+            z.writestr(zipfile.ZipInfo(str(p.relative_to(root))), p.read_bytes())
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/lakemill-{hashlib.sha256(out.getvalue()).hexdigest()[:16]}.zip")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
+    context.addPyFile(path.toString())
     context._lakemill_shipped = True
 
 
