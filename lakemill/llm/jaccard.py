@@ -398,8 +398,21 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows that share a doc_id stay or go together.
     """
     found = near_duplicates(docs, k, percent)
-    gone = common.cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    gone = common.cut(found.where("component_id <> doc_id").select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").alias("__gone")).distinct(), "gone")
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(gone))  # 2 ** MAP_BITS bits
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"))
+
+    def part(inside: bool) -> DataFrame:
+        """Documents in the bitmap, which may have to go, or the others, which stay and are not shuffled."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(marked.value).view(bool)
+            for batch in batches:
+                yield batch.filter(pa.array(bits[_place(batch.column(1).to_numpy())] == inside))
+
+        return keyed.mapInArrow(run, keyed.schema).select("doc.*")
+
+    return part(False).unionAll(part(True).join(gone.select("__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
