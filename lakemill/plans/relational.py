@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakemill.functions.cleaning import blank_to, clip, forward_fill
 from lakemill.operators.dedup import duplicate_keys as duplicates
 from lakemill.operators.dedup import latest
 from lakemill.plans.registry import REVENUE, Tables, double, money, query, revenue
@@ -120,8 +121,6 @@ def null_counts(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Unknown' ELSE c_mktsegment END AS segment FROM customer")
 def fill_blank_unknown(t: Tables) -> DataFrame:
-    from lakemill.functions.cleaning import blank_to
-
     dirty = F.when(F.col("c_custkey") % 8 == 0, "").when(F.col("c_custkey") % 4 == 0, None).otherwise(F.col("c_mktsegment"))
     return t.customer.select("c_custkey", blank_to(dirty, "Unknown").alias("segment"))
 
@@ -140,8 +139,6 @@ def drop_rows_with_nulls(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(greatest(0, least(5, CAST(l_discount * 100 AS DECIMAL(6,2)))) AS DOUBLE) AS discount FROM lineitem WHERE l_linenumber = 1")
 def clip_discount(t: Tables) -> DataFrame:
-    from lakemill.functions.cleaning import clip
-
     lines = t.lineitem.where("l_linenumber = 1")
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", double(clip((F.col("l_discount") * 100).cast("decimal(6,2)"), 0, 5)).alias("discount"))
 
@@ -149,8 +146,6 @@ def clip_discount(t: Tables) -> DataFrame:
 @query("""SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END IGNORE NULLS) OVER
     (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM events""")
 def ffill_events(t: Tables) -> DataFrame:
-    from lakemill.functions.cleaning import forward_fill
-
     gaps = t.events.withColumn("gap", F.when(F.col("event_id") % 3 != 0, F.col("value")))
     return gaps.select("event_id", forward_fill("gap", ["user_id"], ["ts", "event_id"]).alias("filled"))
 

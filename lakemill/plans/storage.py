@@ -9,7 +9,7 @@ from lakemill.operators.constraints import violations
 from lakemill.operators.tables import Transaction, VersionedTable
 from lakemill.operators.workspace import workspace
 from lakemill.plans.registry import Tables, double, query
-from lakemill.sources import files
+from lakemill.sources import files, synthetic
 from lakemill.streaming.ingest import ingest
 
 
@@ -182,9 +182,7 @@ def catalog_listing(t: Tables) -> DataFrame:
 @query("SELECT CAST(sum(range % 5) AS BIGINT) AS status_sum, CAST(count(*) AS BIGINT) AS n FROM range(2000)")
 def synthetic_rows(t: Tables) -> DataFrame:
     """Generated rows depend on their number alone, so any partitioning makes the same ones."""
-    from lakemill.sources.synthetic import orders
-
-    return orders(t.spark, 2000).agg(F.sum("status_code").alias("status_sum"), F.count(F.lit(1)).alias("n"))
+    return synthetic.orders(t.spark, 2000).agg(F.sum("status_code").alias("status_sum"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderkey FROM orders WHERE o_orderpriority = '5-LOW'")
