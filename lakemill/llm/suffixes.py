@@ -15,8 +15,8 @@ from lakemill.llm.jaccard import _mix, gram_hashes, word_hashes
 
 #: Words of the shortest passage that is found, and of the runs among which minimisers are selected.
 PASSAGE = 50
-#: Words of the grams that minimisers are chosen from: the longer, the fewer anchors do edited copies share.
-GRAM = 32
+#: Words of the grams that minimisers are chosen from; PASSAGE - GRAM + 1 must fit in a mask of 62 bits.
+GRAM = 8
 #: Bits of the map of repeated anchors, 2 to this power.
 MAP_BITS = 24
 #: Runs whose minimisers are selected at once.
@@ -46,15 +46,19 @@ def passage_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return _mix((total[length:] - total[:-length]) * _powers(_BASE, n))
 
 
-def anchors(words: np.ndarray, length: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For every run of ``length`` words the position and hash of its smallest gram, the leftmost of equal ones."""
+def anchors(words: np.ndarray, length: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimisers of a text's runs of ``length`` words: the hash of each, its first run and the one past its last.
+
+    The minimiser of a run is its smallest gram, the leftmost of equal ones; neighbouring runs share it.
+    """
     grams = gram_hashes(words, gram)
     runs, width = len(words) - length + 1, length - gram + 1
     at = np.empty(runs, np.int64)
     for i in range(0, runs, BLOCK):
         part = np.lib.stride_tricks.sliding_window_view(grams[i : i + BLOCK + width - 1], width)[: runs - i]
         at[i : i + len(part)] = part.argmin(axis=1) + np.arange(i, i + len(part))
-    return at, grams[at]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return grams[at[first]], first, np.append(first[1:], runs)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -70,62 +74,135 @@ def repeated_anchors(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -
             for raw in batch.column(1):
                 words = word_hashes(raw.as_py() or b"")
                 if len(words) >= length:
-                    at, keys = anchors(words, length, gram)
-                    out.append(keys[np.concatenate([[True], at[1:] != at[:-1]])])
+                    out.append(anchors(words, length, gram)[0])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["anchor"])
 
     keys = _texts(docs).mapInArrow(select, "anchor long")
-    again = keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    return bitmap(keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+
 
+def bitmap(anchors: DataFrame) -> np.ndarray:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << MAP_BITS, bool)
         for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)] = True
+            bits[_place(batch.column(0).to_numpy().view(np.uint64))] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], ["bits"])
 
-    return common.tree_merge(again.mapInArrow(mark, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
+    return common.tree_merge(anchors.mapInArrow(mark, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
 
 
-def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """(content, doc_id, at, own): the runs of ``length`` words around anchors that the corpus repeats.
+def _place(anchor: np.ndarray) -> np.ndarray:
+    return anchor >> np.uint64(64 - MAP_BITS)
 
-    ``own`` marks the first of a document's equal runs.
 
-    A repeated run has its minimiser at the same place in each copy, so it is kept with all its copies; the runs
-    around anchors that occur once are not repeated and stay in their task.
+def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """(anchor, block, doc_id, at, runs, hashes): the suffixes at minimisers that the corpus repeats.
+
+    A suffix goes with the runs whose minimiser it is, from ``at`` on: a hash of each is in ``hashes``, and ``block``
+    is one of them all. A repeated run has its minimiser at the same place in each copy, so it is kept with all its
+    copies; suffixes at minimisers that occur once are dropped in their task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, length, gram))  # 2 ** MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            content, places, own, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)], []
+            keys, blocks, starts, sizes, hashes, rows = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], []
             for raw in batch.column(1):
                 words = word_hashes(raw.as_py() or b"")
                 n = 0
                 if len(words) >= length:
-                    _, keys = anchors(words, length, gram)
-                    places.append(np.flatnonzero(bits[keys >> np.uint64(64 - MAP_BITS)]))
-                    n = len(places[-1])
+                    key, first, end = anchors(words, length, gram)
+                    kept = np.flatnonzero(bits[_place(key)])
+                    n = len(kept)
                     if n:
-                        content.append(passage_hashes(words, length)[places[-1]])
-                        own.append(np.zeros(n, bool))
-                        own[-1][np.unique(content[-1], return_index=True)[1]] = True
+                        content = passage_hashes(words, length)
+                        first, end = first[kept], end[kept]
+                        keys.append(key[kept])
+                        blocks.append(_mix(_mix(content[first]) + content[end - 1] + (end - first).astype(np.uint64)))
+                        starts.append(first)
+                        sizes.append(end - first)
+                        hashes += [content[i:j].tobytes() for i, j in zip(first.tolist(), end.tolist(), strict=True)]
                 rows.append(n)
             owners = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(content).view(np.int64)), owners, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(own))], ["content", "doc_id", "at", "own"])
+            long = lambda x: pa.array(np.concatenate(x).view(np.int64))
+            yield pa.RecordBatch.from_arrays([long(keys), long(blocks), owners, long(starts), long(sizes), pa.array(hashes, pa.binary())], ["anchor", "block", "doc_id", "at", "runs", "hashes"])
+
+    return _texts(docs).mapInArrow(run, "anchor long, block long, doc_id long, at long, runs long, hashes binary")
+
+
+def _unlike(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(anchor, block, offset, hash, n, least): the runs of one copy of each of ``blocks``."""
+    marked = found.sparkSession.sparkContext.broadcast(bitmap(blocks.select("anchor")))  # 2 ** MAP_BITS bits
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(marked.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[_place(batch.column(0).to_numpy().view(np.uint64))]))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("hashes")]
+            sizes = np.array([len(x) for x in flat], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(flat)), sizes))
+            offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cols = [batch.column(c).take(rows) for c in ("anchor", "block")] + [pa.array(offset), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))]
+            yield pa.RecordBatch.from_arrays(cols + [batch.column(c).take(rows) for c in ("n", "doc_id", "at")], ["anchor", "block", "offset", "hash", "n", "doc_id", "at"])
+
+    near = found.select("anchor", "block", "doc_id", "at", "hashes").mapInArrow(keep, "anchor long, block long, doc_id long, at long, hashes binary")
+    one = near.join(blocks.select("anchor", "block", "n", "least"), ["anchor", "block"]).where(F.struct("doc_id", "at").eqNullSafe(F.col("least")))
+    one = one.dropDuplicates(["anchor", "block"]).select("anchor", "block", "n", "doc_id", "at", "hashes")
+    runs = one.mapInArrow(spread, "anchor long, block long, offset long, hash long, n long, doc_id long, at long")
+    return runs.select("anchor", "block", "offset", "hash", "n", F.struct("doc_id", (F.col("at") + F.col("offset")).alias("at")).alias("place"))
+
+
+def _matches(found: DataFrame) -> DataFrame:
+    """(anchor, block, least, repeated, earliest): masks of the runs that have a copy, and of the earliest copies.
+
+    Suffixes that are wholly alike are sorted together first and counted as one. Where all suffixes of an anchor are
+    alike, that decides; else the runs of one suffix of each kind are sorted and compared, so neither step gathers the
+    copies of a common passage.
+    """
+    blocks = found.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("least"), F.first("runs").alias("runs"))
+    blocks = common.cut(blocks, "blocks")
+    kinds = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
+    blocks = common.cut(blocks.join(kinds.drop("all"), "anchor"), "kinds")
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} AS INT))")
+    alike = blocks.where("kinds = 1").withColumn("repeated", bit("runs") - 1)
+    alike = alike.select("anchor", "block", "least", "repeated", F.col("repeated").alias("earliest"))
+    unlike = blocks.where("kinds > 1")
+    runs = common.cut(_unlike(found, unlike), "runs")
+    copies = runs.groupBy("hash").agg(F.sum("n").alias("n"), F.min("place").alias("least")).where("n > 1").select("hash", "least")
+    hit = runs.join(copies, "hash").withColumn("bit", bit("offset"))
+    masks = hit.groupBy("anchor", "block").agg(F.sum("bit").alias("repeated"), F.sum(F.when(F.col("place") == F.col("least"), F.col("bit")).otherwise(F.lit(0))).alias("earliest"))
+    return alike.unionAll(masks.join(unlike, ["anchor", "block"]).select("anchor", "block", "least", "repeated", "earliest"))
+
+
+def _ranges(matched: DataFrame) -> DataFrame:
+    """(doc_id, first, at, end): the runs of (doc_id, at, repeated, earliest) in a row, by the masks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, repeated, earliest = (batch.column(c).to_numpy() for c in ("at", "repeated", "earliest"))
+            out = []
+            for first, mask in ((True, earliest), (False, repeated & ~earliest)):
+                bits = ((mask[:, None] >> np.arange(63)) & 1).astype(np.int8)
+                edge = np.diff(bits, axis=1, prepend=0, append=0)
+                row, start = np.nonzero(edge == 1)
+                out.append((row, np.full(len(row), first), at[row] + start, at[row] + np.nonzero(edge == -1)[1]))
+            row, first, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(first), pa.array(start), pa.array(end)], ["doc_id", "first", "at", "end"])
 
-    return _texts(docs).mapInArrow(run, "content long, doc_id long, at int, own boolean")
+    return matched.select("doc_id", "at", "repeated", "earliest").mapInArrow(run, "doc_id long, first boolean, at long, end long")
 
 
 def repeats(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """The passages of at least ``length`` words that occur more than once in ``docs`` (doc_id, text).
 
-    Of all suffixes, those at minimisers of word grams are retained, and with each the starts up to
-    ``length - gram`` words left of it whose minimiser it is. They are sorted by their first ``length`` words and
-    compared; equal neighbours match, and matches that overlap or touch are joined, which extends them left and
-    right to whole passages. Counts and first places are aggregated before the shuffle and joined back, so that
-    the places of a very common passage can be split among tasks.
+    Of all suffixes, those at minimisers of word grams are retained, each with the starts up to ``length - gram``
+    words left of it whose minimiser it is. They are sorted by the ``length`` words from each start and compared;
+    equal neighbours match, and matches that overlap or touch are joined, which extends them left and right to
+    whole passages.
 
     Rows: doc_id, start_word, end_word (exclusive), n_words, first. ``first`` passages hold the earliest copy, by
     doc_id and place, of each of their runs; the others are the ones to remove. Words end at ASCII white space and
@@ -136,13 +213,14 @@ def repeats(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFra
     ignored.
     """
     found = common.cut(suffixes(docs, length, gram), "suffixes")
-    again = found.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("content", "least")
-    matched = found.join(again, "content").select("doc_id", "at", (F.col("least").eqNullSafe(F.col("doc_id")) & F.col("own")).alias("first"))
+    masks = _matches(found)
+    mine = F.struct("doc_id", "at").eqNullSafe(F.col("least"))
+    matched = found.select("anchor", "block", "doc_id", "at").join(masks, ["anchor", "block"]).withColumn("earliest", F.when(mine, F.col("earliest")).otherwise(F.lit(0)))
     by_place = W.partitionBy("doc_id", "first").orderBy("at")
-    opens = (F.col("at") > F.lag("at").over(by_place) + length) | F.lag("at").over(by_place).isNull()
-    numbered = matched.withColumn("opens", opens.cast("int")).withColumn("passage", F.sum("opens").over(by_place.rowsBetween(W.unboundedPreceding, 0)))
-    spans = numbered.groupBy("doc_id", "first", "passage").agg(F.min("at").alias("start_word"), (F.max("at") + length).alias("end_word"))
-    spans = spans.withColumns({c: F.col(c).cast("long") for c in ("start_word", "end_word")})
+    before = F.lag("end").over(by_place) - 1
+    numbered = _ranges(matched).withColumn("opens", F.coalesce(F.col("at") > before + length, F.lit(True)).cast("int"))
+    numbered = numbered.withColumn("passage", F.sum("opens").over(by_place.rowsBetween(W.unboundedPreceding, 0)))
+    spans = numbered.groupBy("doc_id", "first", "passage").agg(F.min("at").alias("start_word"), (F.max("end") - 1 + length).alias("end_word"))
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first")
 
 
