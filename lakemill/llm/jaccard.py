@@ -20,11 +20,13 @@ from lakemill.llm import common
 #: Sizes of sets go in bands, each at most this share of the next; it must be below the threshold.
 BAND = 0.75
 #: Signatures that a task merges at once.
-MERGED = 8_000_000
+MERGED = 2_000_000
 #: Bits of the candidates' bitmap, 2 to this power.
 MAP_BITS = 23
 #: Shingles that one search task indexes at most, about; larger candidate groups are searched chunk against chunk.
 BLOCK_SHINGLES = 2_000_000
+#: Small candidate groups are put together into tasks of about this share of a block.
+TASK_SHARE = 8
 #: Words whose hashes a worker remembers.
 CACHE = 600_000
 
@@ -276,10 +278,11 @@ def _shared(table: DataFrame, within: bool) -> DataFrame:
 
     def merged(signature: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((node, signature))
-        signature, node = signature[order], node[order]
-        first = np.concatenate([[True], signature[1:] != signature[:-1]])[: len(signature)]
-        if not within:
-            return pa.RecordBatch.from_arrays([pa.array(signature[first].view(np.int64)), pa.array(node[first])], ["signature", "u"])
+        first = np.concatenate([[True], signature[order][1:] != signature[order][:-1]])[: len(signature)]
+        if not within:  # in the order of nodes, which compresses
+            kept = np.sort(order[first])
+            return pa.RecordBatch.from_arrays([pa.array(signature[kept].view(np.int64)), pa.array(node[kept])], ["signature", "u"])
+        node = node[order]
         lead = node[first][np.cumsum(first) - 1]
         pairs = np.unique(np.stack([node, lead], axis=1)[node != lead], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
@@ -323,13 +326,12 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return common.tree_merge(keys.select("key").mapInArrow(run, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
 
 
-def links(docs: DataFrame, table: DataFrame, k: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, groups: DataFrame, k: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, root) for every set that links to another: the smallest node of its component.
 
     The shingles of candidates alone are made once more, from one document for each set.
     """
-    groups = candidates(table)
-    one = table.where("signatures IS NOT NULL").select("short", "node", "n", "key").join(groups, "short")
+    one = rows.where("holds").select("short", "node", "n", "key").join(groups, "short")
     one = common.cut(one.groupBy("node").agg(F.min("key").alias("key"), F.first("root").alias("root"), F.first("n").alias("n")), "candidates")
     marked = docs.sparkSession.sparkContext.broadcast(bitmap(one))  # 2 ** MAP_BITS bits
 
@@ -349,7 +351,7 @@ def links(docs: DataFrame, table: DataFrame, k: int, percent: int, block: int =
     alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
     dealt = one.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     dealt = dealt.withColumn("pair", F.explode(F.when(F.col("chunks") > 1, pairs).otherwise(alone)))
-    task = F.when(F.col("chunks") > 1, F.xxhash64("root", "pair")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / block)))))
+    task = F.when(F.col("chunks") > 1, F.xxhash64("root", "pair")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total * TASK_SHARE / block)))))
     dealt = dealt.select("node", "key", "root", task.alias("task"), F.col("pair.i"), F.col("pair.j"))
     dealt = members.join(dealt, ["node", "key"]).select("task", "root", "i", "j", "node", "shingles")
 
@@ -364,6 +366,7 @@ def links(docs: DataFrame, table: DataFrame, k: int, percent: int, block: int =
         return pd.DataFrame(out, columns=["u", "v"])
 
     found = common.cut(dealt.groupBy("task").applyInPandas(run, "u binary, v binary"), "found")
+    common.release(docs.sparkSession)
     if chunks.agg(F.max("chunks")).first()[0] in (None, 1):
         return found.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return common.components(found)
@@ -383,8 +386,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     doc_id is never a component's smallest; an empty table gives no rows; other columns are ignored.
     """
     table = shingle_table(docs, k, percent)
-    rows = table.select("doc_id", "n", "node")
-    linked = links(docs, table, k, percent, block).withColumnRenamed("root", "top")
+    rows = common.cut(table.select("doc_id", "key", "n", "node", "short", F.col("signatures").isNotNull().alias("holds")), "sets")
+    groups = candidates(table)
+    common.drop(table)
+    common.release(docs.sparkSession)
+    linked = links(docs, rows, groups, k, percent, block).withColumnRenamed("root", "top")
+    rows = rows.select("doc_id", "n", "node")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
     nodes = nodes.select("node", "least", F.coalesce("top", "node").alias("top"))
     tops = nodes.groupBy("top").agg(F.min("least").alias("component_id"))
