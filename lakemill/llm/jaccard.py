@@ -25,6 +25,8 @@ MERGED = 2_000_000
 MAP_BITS = 23
 #: Shingles that one search task indexes at most, about; larger candidate groups are searched chunk against chunk.
 BLOCK_SHINGLES = 2_000_000
+#: Times that groups too large for one task are cut by other signatures before their chunks are paired.
+ROUNDS = 3
 #: Small candidate groups are put together into tasks of about this share of a block.
 TASK_SHARE = 8
 #: Words whose hashes a worker remembers.
@@ -326,13 +328,47 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return common.tree_merge(keys.select("key").mapInArrow(run, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
 
 
+def refined(docs: DataFrame, one: DataFrame, k: int, percent: int, salt: int) -> DataFrame:
+    """``one`` (node, short, key, root, n) with its groups cut by signatures of other parts; sets left alone are dropped.
+
+    Sets that link share a signature whatever the parts, so no link leaves a group, while sets that common passages
+    have chained by chance seldom meet again.
+    """
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(one))  # 2 ** MAP_BITS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signatures, bits = Signatures(percent), np.unpackbits(marked.value).view(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[_place(batch.column(0).to_numpy())]))
+            out, shorts = [np.empty(0, np.uint64)], []
+            for raw in batch.column(1):
+                s = shingles(raw.as_py() or b"", k)
+                out.append(signatures.of(np.sort(_mix(s ^ np.uint64(salt)))) if len(s) else out[0])
+                shorts.append(int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True))
+            rows = pa.array(np.repeat(np.arange(len(shorts)), [len(x) for x in out[1:]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(shorts, pa.int64()).take(rows), pa.array(np.concatenate(out).view(np.int64))], ["key", "short", "signature"])
+
+    told = _texts(docs).select("key", "text").mapInArrow(run, "key long, short long, signature long").join(one.select("key", "short", "root"), ["key", "short"])
+    edges = told.withColumn("v", F.min("short").over(W.partitionBy("signature", "root"))).where("short <> v").select(F.col("short").alias("u"), "v")
+    found = common.components(edges).select(F.col("node").alias("short"), "root")
+    return one.drop("root").join(found, "short").select("node", "short", "key", "root", "n")
+
+
 def links(docs: DataFrame, rows: DataFrame, groups: DataFrame, k: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, root) for every set that links to another: the smallest node of its component.
 
     The shingles of candidates alone are made once more, from one document for each set.
     """
     one = rows.where("holds").select("short", "node", "n", "key").join(groups, "short")
-    one = common.cut(one.groupBy("node").agg(F.min("key").alias("key"), F.first("root").alias("root"), F.first("n").alias("n")), "candidates")
+    one = one.groupBy("node").agg(F.min("key").alias("key"), F.first("root").alias("root"), F.first("n").alias("n"), F.first("short").alias("short"))
+    one = common.cut(one.select("node", "short", "key", "root", "n"), "candidates")
+    for salt in range(1, ROUNDS + 1):
+        large = common.cut(one.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") > block).select("root"), "large")
+        if large.isEmpty():
+            break
+        cut = refined(docs, common.cut(one.join(large, "root", "left_semi"), "large"), k, percent, salt)
+        one = common.cut(one.join(large, "root", "left_anti").unionByName(cut), "candidates")
+        common.release(docs.sparkSession)
     marked = docs.sparkSession.sparkContext.broadcast(bitmap(one))  # 2 ** MAP_BITS bits
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
