@@ -133,7 +133,8 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
 
 def _unlike(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """(anchor, block, offset, hash, n, least): the runs of one copy of each of ``blocks``."""
-    marked = found.sparkSession.sparkContext.broadcast(bitmap(blocks.select("anchor")))  # 2 ** MAP_BITS bits
+    mark = lambda doc, at: F.xxhash64("anchor", "block", doc, at).alias("mark")
+    marked = found.sparkSession.sparkContext.broadcast(bitmap(blocks.select(mark("least.doc_id", "least.at"))))  # 2 ** MAP_BITS bits
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(marked.value).view(bool)
@@ -149,7 +150,7 @@ def _unlike(found: DataFrame, blocks: DataFrame) -> DataFrame:
             cols = [batch.column(c).take(rows) for c in ("anchor", "block")] + [pa.array(offset), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))]
             yield pa.RecordBatch.from_arrays(cols + [batch.column(c).take(rows) for c in ("n", "doc_id", "at")], ["anchor", "block", "offset", "hash", "n", "doc_id", "at"])
 
-    near = found.select("anchor", "block", "doc_id", "at", "hashes").mapInArrow(keep, "anchor long, block long, doc_id long, at long, hashes binary")
+    near = found.select(mark("doc_id", "at"), "anchor", "block", "doc_id", "at", "hashes").mapInArrow(keep, "mark long, anchor long, block long, doc_id long, at long, hashes binary").drop("mark")
     one = near.join(blocks.select("anchor", "block", "n", "least"), ["anchor", "block"]).where(F.struct("doc_id", "at").eqNullSafe(F.col("least")))
     one = one.dropDuplicates(["anchor", "block"]).select("anchor", "block", "n", "doc_id", "at", "hashes")
     runs = one.mapInArrow(spread, "anchor long, block long, offset long, hash long, n long, doc_id long, at long")
