@@ -1,4 +1,4 @@
-"""Personal data: pattern spans, and nearby terms that the corpus shows to reveal them, in DataFrame functions only."""
+"""Personal data: pattern spans, and terms that the corpus shows to reveal them, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -19,10 +19,9 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: What a text must match to be searched for a kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Code points of context on either side of a span, and the nearest words in them that count as its terms.
-CONTEXT = 64
-NEAREST = 4
-#: Documents in which a term must stand near an entity before the corpus says anything about the two.
+#: What a text must match to have a valid span of a kind.
+MAY = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9][\x20().0-9-]{7}"}
+#: Documents in which a term must stand with an entity before the corpus says anything about the two.
 SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -49,103 +48,118 @@ def valid(kind: str, hit: Column) -> Column:
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """Every match with its place in code points and the text before it, up to CONTEXT; a last entry has no match.
+    """Every match with its place in code points; a last entry has no match.
 
     The pieces between matches and the matches themselves, in turn, are the text; their lengths give the places.
     """
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("hit")))
-    entry = "struct<start:int,end:int,hit:string,gap_head:string,gap_tail:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{entry}>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.substring(x["gap"], 1, CONTEXT).alias("gap_head"), F.when(F.length(x["gap"]) > CONTEXT, F.substring(x["gap"], -CONTEXT, CONTEXT)).otherwise(x["gap"]).alias("gap_tail"))
+        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
+def _padded(text: str) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def _terms(text: str) -> Column:
+    """The distinct words of a whole text.
+
+    Words that are joined to digits or to signs of an address are left out, so none overlaps a span.
+    """
+    found = F.array_distinct(F.regexp_extract_all(_padded(text), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(found, _term))
+
+
 def base_spans(rows: DataFrame) -> DataFrame:
-    """Adds an array for each kind to (row, doc_id, text): the valid matches with the text around them.
+    """Adds an array for each kind to (row, doc_id, text), the valid matches, and the words of texts that may have any.
 
     The result is a table in the shared folder without the texts.
     """
-    found = rows.select("row", "doc_id", *(F.when(F.col("text").rlike(HINTS[k]), _located(F.col("text"), PATTERNS[k])).alias(k) for k in KINDS))
+    may = F.col("text").rlike("|".join(MAY.values()))
+    found = rows.select("row", "doc_id", *(F.when(F.col("text").rlike(HINTS[k]), _located(F.col("text"), PATTERNS[k])).alias(k) for k in KINDS), F.when(may, _terms("text")).alias("words"))
     found = common.cut(found, "matches")
 
     def spans(kind: str) -> Column:
-        with_next = F.zip_with(F.slice(kind, 1, F.size(kind) - 1), F.slice(kind, 2, F.size(kind) - 1), lambda a, b: F.struct(F.lit(kind).alias("kind"), a["start"].alias("start"), a["end"].alias("end"), a["hit"].alias("hit"), a["gap_tail"].alias("before"), b["gap_head"].alias("after")))
-        empty = F.array().cast("array<struct<kind:string,start:int,end:int,hit:string,before:string,after:string>>")
-        return F.when(F.size(kind) > 1, F.filter(with_next, lambda s: valid(kind, s["hit"]))).otherwise(empty)
+        hits = F.filter(kind, lambda s: s["hit"].isNotNull() & valid(kind, s["hit"]))
+        empty = F.array().cast("array<struct<kind:string,start:int,end:int,hit:string>>")
+        return F.coalesce(F.transform(hits, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"))), empty)
 
-    return found.select("row", "doc_id", *(spans(k).alias(k) for k in KINDS))
+    return common.cut(found.select("row", "doc_id", *(spans(k).alias(k) for k in KINDS), "words"), "spans")
 
 
-def _words(context: Column, origin: Column, pattern: str) -> Column:
-    """The words of a context string that starts at code point ``origin``, with their places."""
-    parts = F.zip_with(F.split(context, pattern, -1), F.regexp_extract_all(context, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("word")))
-    start = F.struct(origin.alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
+def _places(text: str, flagged: str) -> Column:
+    """(start, end, remove) of every place in a text of the terms that the map ``flagged`` has."""
+    padded = _padded(text)
+    parts = F.zip_with(F.split(padded, TERM, -1), F.regexp_extract_all(padded, F.lit(TERM), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), F.try_element_at(flagged, _term(m)).alias("remove")))
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int,remove:boolean>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["word"]), F.lit(0))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lower(x["word"]).alias("word"), begin.alias("start"), end.alias("end")))).alias("out"))
-
-    return F.filter(F.aggregate(parts, start, step, lambda acc: acc["out"]), lambda w: w["word"].isNotNull())
-
+        begin = acc["at"] + x["gap"]
+        end = begin + F.coalesce(x["size"], F.lit(0))
+        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["remove"].alias("remove")))
+        marked = x["size"].isNotNull() & x["remove"].isNotNull()
+        return F.struct(end.alias("at"), F.when(marked, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-def contexts(base: DataFrame) -> DataFrame:
-    """(row, entity, term, start, end) for the words near each span.
-
-    Words that are joined to digits or to signs of an address are left out, so none overlaps a span, and so are
-    words that the edge of the context may have cut. Each span goes its own way, however many a text has.
-    """
-    spans = base.select("row", F.explode(F.concat(*KINDS)).alias("s"))
-    whole = lambda c: F.length(c) < CONTEXT
-    before = F.when(whole(F.col("s.before")), F.concat(F.lit(" "), F.col("s.before"))).otherwise(F.col("s.before"))
-    after = F.when(whole(F.col("s.after")), F.concat(F.col("s.after"), F.lit(" "))).otherwise(F.col("s.after"))
-    left = F.reverse(F.slice(F.reverse(_words(before, F.col("s.start") - F.length(before), TERM)), 1, NEAREST))
-    right = F.slice(_words(after, F.col("s.end"), TERM), 1, NEAREST)
-    near = spans.select("row", F.xxhash64("s.kind", F.lower("s.hit")).alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-    return near.select("row", "entity", F.xxhash64("w.word").alias("term"), "w.start", "w.end")
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
-def disclosing(rows: DataFrame, near: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def disclosing(rows: DataFrame, base: DataFrame, counts: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) from the document counts of the whole corpus.
 
     Disclosure is the pointwise mutual information of term and entity over the entity's information content: 1 if
-    the term is never without the entity, 0 if it says nothing about it.
+    the term is never without the entity, 0 if it says nothing about it. Terms in too many documents to reach
+    ``threshold``, even if each document of the entity had them, are left out before terms and entities are paired.
     """
-    n = rows.count()
-    seen = near.select("row", "entity", "term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = common.cut(pairs.join(entities, "entity"), "pairs")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))
-    every = rows.select(F.explode(words).alias("word")).select(F.xxhash64("word").alias("term"))
-    counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    content = F.log(F.lit(float(max(n, 2))) / F.col("n_entity"))
-    ratio = F.when(content > 0, 1 - F.log(F.greatest(F.col("n_term") / F.col("n_pair"), F.lit(1.0))) / content).otherwise(F.lit(0.0))
-    return pairs.join(counts, "term").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    n = float(max(rows.count(), 2))
+    entities = entities_of(base)
+    sizes = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).withColumn("content", F.log(F.lit(n) / F.col("n_entity")))
+    most = F.col("n_entity") * F.exp(F.col("content") * (1 - threshold)) * (1 + 1e-9)
+    sizes = sizes.where("content > 0").withColumn("most", most)
+    within = common.cut(entities.join(sizes, "entity"), "entities")
+    bounds = within.groupBy("row").agg(F.max("most").alias("bound"))
+    words = base.select("row", F.explode("words").alias("term")).join(counts, "term").join(bounds, "row").where("n_term <= bound").select("row", "term", "n_term")
+    both = common.cut(words, "rare").join(within, "row").where("n_term <= most")
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_term").alias("n_term"), F.first("content").alias("content")).where(F.col("n_pair") >= support)
+    ratio = 1 - F.log(F.col("n_term") / F.col("n_pair")) / F.col("content")
+    return pairs.select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
+
+
+def entities_of(base: DataFrame) -> DataFrame:
+    """(row, entity), once for each value of a kind that a document has."""
+    found = F.transform(F.concat(*KINDS), lambda s: F.xxhash64(s["kind"], F.lower(s["hit"])))
+    return base.select("row", F.explode(F.array_distinct(found)).alias("entity"))
 
 
 def find(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(row, doc_id, email, ip, card, phone, terms) for every row of (row, doc_id, text).
+    """(row, doc_id, email, ip, card, phone, terms) for every row of (row, doc_id, text), read more than once.
 
-    The first four are pattern spans. ``terms`` are words near them that disclose the entity they stand by, as
+    The first four are pattern spans. ``terms`` are words of documents that disclose an entity in them, as
     co-occurrence in the whole corpus tells; they have a flag ``remove`` where even the general class is too much.
 
     Defined results: a null text is empty and has no span; overlapping spans of different kinds all count; repeated
     rows each count as a document; an empty table gives no rows; other columns are ignored.
     """
     base = base_spans(rows)
-    near = contexts(base)
-    told = near.join(disclosing(rows, near, support), ["entity", "term"])
-    told = told.groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
-    terms = told.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("terms"))
-    return base.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>")))
+    words = rows.select("row", F.explode(_terms("text")).alias("term"))
+    counts = common.cut(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "counts")
+    told = common.cut(disclosing(rows, base, counts, support), "disclosing")
+    inside = base.select("row", F.explode("words").alias("term")).join(told, "term").join(entities_of(base), ["row", "entity"])
+    hits = inside.groupBy("row", "term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
+    flagged = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("flagged"))
+    terms = rows.join(common.cut(flagged, "flagged"), "row").select("row", _places("text", "flagged").alias("terms"))
+    found = base.drop("words").join(common.cut(terms, "terms"), "row", "left")
+    return found.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>")))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -180,7 +194,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(numbered(common.table(spark, sf_dir, "documents")))
+    found = find(common.cut(numbered(common.table(spark, sf_dir, "documents")), "texts"))
     text = lambda k, c: F.transform(c, lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"]))
     base = F.concat(*(text(k, k) for k in KINDS))
     return found.select(

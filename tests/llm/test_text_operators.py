@@ -280,6 +280,18 @@ def test_terms_that_reveal_an_entity_go_with_it(spark):
     assert "[EMAIL]" in text[0] and "boss@" not in text[0] and text[100] == rest[0][1]
 
 
+def test_terms_are_found_however_far_from_the_span(spark):
+    filler = "many common words and nothing else to report, write and call " * 20
+    near = [(i, f"Zanzibarov wrote {filler} to boss@corp.example") for i in range(8)]
+    near += [(50 + i, "report by Quillonby of many common words, write to help@desk.example") for i in range(8)]
+    rest = [(100 + i, filler) for i in range(400)]
+    found = {r["doc_id"]: r for r in pii.find(pii.numbered(frame(spark, near + rest))).collect()}
+    words = {i: {t[s["start"] : s["end"]] for s in found[i]["terms"]} for i, t in near + rest}
+    assert words[0] >= {"Zanzibarov"} and words[50] >= {"Quillonby"} and not any(words[i] & {"many", "common", "words"} for i in words)
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, near + rest, extra=True)).collect()}
+    assert not any("Zanzibarov" in t or "Quillonby" in t for t in text.values())
+
+
 def test_sanitised_texts_keep_what_is_between(spark):
     rows = [(1, "mail a@b.cc, ip 1.2.3.4; end"), (2, None), (3, "clean"), (3, "clean")]
     cleaned = pii.sanitise(frame(spark, rows, extra=True))
