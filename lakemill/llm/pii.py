@@ -21,8 +21,8 @@ KINDS = tuple(PATTERNS)
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: What a text must match to have a valid span of a kind.
 MAY = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9][\x20().0-9-]{7}"}
-#: Documents in which a term must stand with an entity before the corpus says anything about the two.
-SUPPORT = 3
+#: Documents that the prior weighs when the share of a term's documents that have an entity is estimated.
+PRIOR = 1.0
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -114,24 +114,27 @@ def _places(text: str, flagged: str) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
-def disclosing(rows: DataFrame, base: DataFrame, counts: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def disclosing(rows: DataFrame, base: DataFrame, counts: DataFrame, prior: float = PRIOR, threshold: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) from the document counts of the whole corpus.
 
-    Disclosure is the pointwise mutual information of term and entity over the entity's information content: 1 if
-    the term is never without the entity, 0 if it says nothing about it. Terms in too many documents to reach
+    Disclosure is the pointwise mutual information of term and entity over the entity's information content: near 1
+    if the term is never without the entity, 0 if it says nothing about it. The entity's share of the term's
+    documents is smoothed by ``prior`` documents that have the entity as often as the corpus does, so a rare entity
+    counts too, and one document tells less than many. Terms in too many documents to reach
     ``threshold``, even if each document of the entity had them, are left out before terms and entities are paired.
     """
     n = float(max(rows.count(), 2))
     entities = entities_of(base)
     sizes = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).withColumn("content", F.log(F.lit(n) / F.col("n_entity")))
-    most = F.col("n_entity") * F.exp(F.col("content") * (1 - threshold)) * (1 + 1e-9)
+    expected = prior * F.exp(-F.col("content"))
+    most = ((F.col("n_entity") + expected) * F.exp(F.col("content") * (1 - threshold)) - prior) * (1 + 1e-9)
     sizes = sizes.where("content > 0").withColumn("most", most)
     within = common.cut(entities.join(sizes, "entity"), "entities")
     bounds = within.groupBy("row").agg(F.max("most").alias("bound"))
     words = base.select("row", F.explode("words").alias("term")).join(counts, "term").join(bounds, "row").where("n_term <= bound").select("row", "term", "n_term")
     both = common.cut(words, "rare").join(within, "row").where("n_term <= most")
-    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_term").alias("n_term"), F.first("content").alias("content")).where(F.col("n_pair") >= support)
-    ratio = 1 - F.log(F.col("n_term") / F.col("n_pair")) / F.col("content")
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_term").alias("n_term"), F.first("content").alias("content"))
+    ratio = 1 + F.log((F.col("n_pair") + expected) / (F.col("n_term") + prior)) / F.col("content")
     return pairs.select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
@@ -141,7 +144,7 @@ def entities_of(base: DataFrame) -> DataFrame:
     return base.select("row", F.explode(F.array_distinct(found)).alias("entity"))
 
 
-def find(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
+def find(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
     """(row, doc_id, email, ip, card, phone, terms) for every row of (row, doc_id, text), read more than once.
 
     The first four are pattern spans. ``terms`` are words of documents that disclose an entity in them, as
@@ -153,7 +156,7 @@ def find(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
     base = base_spans(rows)
     words = rows.select("row", F.explode(_terms("text")).alias("term"))
     counts = common.cut(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "counts")
-    told = common.cut(disclosing(rows, base, counts, support), "disclosing")
+    told = common.cut(disclosing(rows, base, counts, prior), "disclosing")
     inside = base.select("row", F.explode("words").alias("term")).join(told, "term").join(entities_of(base), ["row", "entity"])
     hits = inside.groupBy("row", "term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
     flagged = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("flagged"))
@@ -166,13 +169,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     """``docs`` with the text of every span replaced by its kind, [TERM] or, for removed terms, nothing.
 
     Of overlapping spans the first gives the replacement for all that they cover.
     """
     kept = common.cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "texts")
-    found = find(kept.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text")), support)
+    found = find(kept.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text")), prior)
 
     def marks(spans: str, by: Callable[[Column], Column]) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))

@@ -292,6 +292,14 @@ def test_terms_are_found_however_far_from_the_span(spark):
     assert not any("Zanzibarov" in t or "Quillonby" in t for t in text.values())
 
 
+def test_terms_of_rare_entities_are_generalised_and_those_of_frequent_ones_removed(spark):
+    filler = "many common words and nothing else to report, write and call"
+    rows = [(1, f"Quillonby {filler} to help@desk.example"), *((10 + i, f"Zanzibarov {filler} to boss@corp.example") for i in range(20))]
+    rows += [(100 + i, filler) for i in range(400)]
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, rows, extra=True)).collect()}
+    assert text[1] == f"[TERM] {filler} to [EMAIL]" and text[10] == f" {filler} to [EMAIL]" and text[100] == filler
+
+
 def test_sanitised_texts_keep_what_is_between(spark):
     rows = [(1, "mail a@b.cc, ip 1.2.3.4; end"), (2, None), (3, "clean"), (3, "clean")]
     cleaned = pii.sanitise(frame(spark, rows, extra=True))
