@@ -25,6 +25,8 @@ MAY = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\
 PRIOR = 1.0
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
+#: The most frequent terms that disclose nothing, as many as all tasks get to keep them out of a shuffle.
+COMMON = 4096
 
 TERM = r"(?<=[^\p{L}0-9@._%+-])\p{L}{3,}+(?=\P{L})(?![._%+-]*+[0-9A-Za-z@])"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -147,8 +149,8 @@ def entities_of(base: DataFrame) -> DataFrame:
 def find(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
     """(row, doc_id, email, ip, card, phone, terms) for every row of (row, doc_id, text), read more than once.
 
-    The first four are pattern spans. ``terms`` are words of documents that disclose an entity in them, as
-    co-occurrence in the whole corpus tells; they have a flag ``remove`` where even the general class is too much.
+    The first four are pattern spans. ``terms`` are all places, in all texts, of words that disclose an
+    entity, as co-occurrence in the whole corpus tells; they have a flag ``remove`` where even the general class is too much.
 
     Defined results: a null text is empty and has no span; overlapping spans of different kinds all count; repeated
     rows each count as a document; an empty table gives no rows; other columns are ignored.
@@ -156,9 +158,10 @@ def find(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
     base = base_spans(rows)
     words = rows.select("row", F.explode(_terms("text")).alias("term"))
     counts = common.cut(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "counts")
-    told = common.cut(disclosing(rows, base, counts, prior), "disclosing")
-    inside = base.select("row", F.explode("words").alias("term")).join(told, "term").join(entities_of(base), ["row", "entity"])
-    hits = inside.groupBy("row", "term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
+    told = disclosing(rows, base, counts, prior).groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
+    told = common.cut(told, "disclosing")
+    frequent = counts.join(told, "term", "left_anti").orderBy(F.desc("n_term"), "term").limit(COMMON).select("term")
+    hits = words.join(F.broadcast(common.cut(frequent, "frequent")), "term", "left_anti").join(told, "term")
     flagged = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("flagged"))
     terms = rows.join(common.cut(flagged, "flagged"), "row").select("row", _places("text", "flagged").alias("terms"))
     found = base.drop("words").join(common.cut(terms, "terms"), "row", "left")

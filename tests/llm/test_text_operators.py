@@ -300,6 +300,15 @@ def test_terms_of_rare_entities_are_generalised_and_those_of_frequent_ones_remov
     assert text[1] == f"[TERM] {filler} to [EMAIL]" and text[10] == f" {filler} to [EMAIL]" and text[100] == filler
 
 
+def test_terms_that_reveal_an_entity_go_everywhere(spark):
+    filler = "many common words and nothing else to report, write and call"
+    rows = [(i, f"ZANZIBAROV {filler} to boss@corp.example {f"{filler} " * 9} zanzibarov, (Zanzibarov)") for i in range(8)]
+    rows += [(50, f"Zanzibarov {filler}"), *((100 + i, filler) for i in range(400))]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["terms"]] for r in pii.find(pii.numbered(frame(spark, rows))).collect()}
+    assert found == {i: [m.span() for m in re.finditer("(?i)zanzibarov", t)] for i, t in rows}
+    assert not any("zanzibarov" in r["text"].lower() for r in pii.sanitise(frame(spark, rows, extra=True)).collect())
+
+
 def test_sanitised_texts_keep_what_is_between(spark):
     rows = [(1, "mail a@b.cc, ip 1.2.3.4; end"), (2, None), (3, "clean"), (3, "clean")]
     cleaned = pii.sanitise(frame(spark, rows, extra=True))
