@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, Row, SparkSession
+from pyspark.sql import functions as F
 
 HEADING = re.compile(r"^--\s*(\d+)\.\s*(.+)$", re.MULTILINE)
 
@@ -17,15 +18,19 @@ def split(text: str) -> list[tuple[str, str]]:
     return [(m.group(2).strip(), text[m.end() : end].strip().rstrip(";")) for m, end in zip(marks, ends, strict=True)]
 
 
-def run(spark: SparkSession, text: str, preview: int = 10) -> list[tuple[str, int, str | None]]:
-    """(title, rows shown, error) of each statement; one that fails does not stop the others.
+def run(spark: SparkSession, text: str, preview: int = 10) -> list[tuple[str, list[Row], int, str | None]]:
+    """(title, first rows, count of all rows, error) of each statement; one that fails does not stop the others.
 
-    A preview of ``preview`` rows comes to the driver, never a whole result.
+    Each result is computed whole, every row and column, so a failure on any row is told. Only ``preview`` rows come
+    to the driver.
     """
     out = []
     for title, statement in split(text):
         try:
-            out.append((title, len(spark.sql(statement).take(preview)), None))
+            found, total = spark.sql(statement), Observation()
+            rows = found.take(preview)
+            found.observe(total, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+            out.append((title, rows, total.get["n"], None))
         except PySparkException as e:
-            out.append((title, 0, type(e).__name__))
+            out.append((title, [], 0, type(e).__name__))
     return out

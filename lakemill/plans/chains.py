@@ -41,7 +41,8 @@ def script_runner(t: Tables) -> DataFrame:
     t.region.createOrReplaceTempView("script_region")
     t.customer.createOrReplaceTempView("script_customer")
     text = "-- 1. regions\nSELECT * FROM script_region;\n-- 2. broken\nSELECT nothing FROM script_region;\n-- 3. preview\nSELECT * FROM script_customer;\n"
-    return t.spark.createDataFrame(script.run(t.spark, text), "title string, shown long, error string")
+    found = [(title, len(rows), error) for title, rows, _, error in script.run(t.spark, text)]
+    return t.spark.createDataFrame(found, "title string, shown long, error string")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'n/a' WHEN s_suppkey % 3 = 1 THEN '+' || CAST(s_suppkey AS VARCHAR) || '.0%' ELSE '-' || CAST(s_suppkey AS VARCHAR) || '.0%' END AS change FROM supplier WHERE s_suppkey < 1000")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakemill.functions import cleaning as C
-from lakemill.operators import scd2
+from lakemill.operators import scd2, script
 from lakemill.operators.constraints import split, violations
 from lakemill.operators.report import previous_period
 from lakemill.operators.tables import CommitConflict, Transaction, VersionedTable
@@ -136,3 +136,21 @@ def test_drifting_files_and_audit_columns(spark, tmp_path):
 
 def test_previous_period_has_as_many_days():
     assert previous_period(date(2024, 3, 1), date(2024, 3, 31)) == (date(2024, 1, 30), date(2024, 2, 29))
+
+
+def test_script_runs_whole_statements_and_counts_their_rows(spark):
+    spark.range(0, 1000, 1, 4).createOrReplaceTempView("script_ids")
+    text = """-- 1. all
+SELECT id, id AS id FROM script_ids ORDER BY 1;
+-- 2. late
+SELECT 1 / (id - 990) AS x FROM script_ids;
+-- 3. none
+SELECT * FROM script_ids WHERE false;
+-- 4. view
+CREATE OR REPLACE TEMP VIEW script_few AS SELECT * FROM script_ids WHERE id < 3;
+-- 5. few
+SELECT * FROM script_few;
+"""
+    found = script.run(spark, text)
+    assert [(title, len(rows), total) for title, rows, total, _ in found] == [("all", 10, 1000), ("late", 0, 0), ("none", 0, 0), ("view", 0, 0), ("few", 3, 3)]
+    assert [x[0] for x in found[0][1]] == list(range(10)) and [title for title, *_, error in found if error] == ["late"]
