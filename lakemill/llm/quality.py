@@ -27,6 +27,11 @@ ENDS, SYMBOLS = b".,;:?'\"()", b"!#$%&*+/<=>@[\\]^_`{|}~-"
 FEATURES = ("log_words", "word_bytes", "upper", "lower", "digits", "ends", "symbols", "bang", "bar", "repeated_words", "distinct_words", "log_lines", "distinct_lines", "longest_word")
 
 
+def distinct_share(words: list[bytes]) -> float:
+    """The share of distinct words in blocks of 256, over all words, so that it does not fall with the length."""
+    return sum(len(set(words[k : k + 256])) for k in range(0, len(words), 256)) / max(len(words), 1)
+
+
 def features(raw: bytes) -> list[float]:
     """Shares of a UTF-8 text's bytes, words and lines; all are defined for an empty text."""
     n = max(len(raw), 1)
@@ -35,7 +40,7 @@ def features(raw: bytes) -> list[float]:
     w, k = max(len(words), 1), max(len(lines), 1)
     return [
         np.log1p(len(words)), len(raw) / w, share(UPPER), share(LOWER), share(DIGITS), share(ENDS), share(SYMBOLS), raw.count(b"!") / n, raw.count(b"|") / n,
-        sum(map(operator.eq, words, words[1:])) / w, len(set(words[:256])) / max(min(len(words), 256), 1), np.log1p(len(lines)), len(set(lines)) / k, np.log1p(max(map(len, words), default=0)),
+        sum(map(operator.eq, words, words[1:])) / w, distinct_share(words), np.log1p(len(lines)), len(set(lines)) / k, np.log1p(max(map(len, words), default=0)),
     ]
 
 

@@ -173,6 +173,15 @@ def test_top_k_with_ties_copies_and_bad_vectors(spark):
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
+def test_distinct_words_are_counted_over_the_whole_text():
+    k = quality.FEATURES.index("distinct_words")
+    opening, varied = [f"w{i}" for i in range(256)], [f"v{i % 256}" for i in range(1024)]
+    share = lambda words: quality.features(" ".join(words).encode())[k]
+    assert share(opening) == share(opening + varied) == 1 and share([]) == 0
+    assert share(opening + ["round", "and"] * 512) == (256 + 4 * 2) / 1280
+    assert share(["a", "b", "a"]) == 2 / 3
+
+
 def test_quality_keeps_good_documents_and_shrinks_sparse_sites(spark):
     rng = random.Random(5)
     rows, labels = [], []
