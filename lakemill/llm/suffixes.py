@@ -1,4 +1,4 @@
-"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted by content and compared."""
+"""Repeated passages by sparse suffixes: runs at minimiser positions, hashed and grouped by equal hash."""
 
 from __future__ import annotations
 
@@ -201,9 +201,9 @@ def repeats(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFra
     """The passages of at least ``length`` words that occur more than once in ``docs`` (doc_id, text).
 
     Of all suffixes, those at minimisers of word grams are retained, each with the starts up to ``length - gram``
-    words left of it whose minimiser it is. They are sorted by the ``length`` words from each start and compared;
-    equal neighbours match, and matches that overlap or touch are joined, which extends them left and right to
-    whole passages.
+    words left of it whose minimiser it is. The ``length`` words from each start are hashed and
+    grouped; equal hashes match, and matches that overlap or touch are joined as intervals, which gives whole
+    passages.
 
     Rows: doc_id, start_word, end_word (exclusive), n_words, first. ``first`` passages hold the earliest copy, by
     doc_id and place, of each of their runs; the others are the ones to remove. Words end at ASCII white space and
