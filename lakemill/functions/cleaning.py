@@ -9,8 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
-#: Tried in turn; the first that fits wins.
-TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss")
+#: Fixed values. Each is tried in turn; the first that fits wins. Feeds of events write days first.
+EVENT_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy", "yyyy-MM-dd")
+#: Those of shop orders, of which all else is guessed.
+ORDER_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy")
+#: For feeds that mix them; slashes have the month first.
+TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
 
 
 def blank_to(c: Column, default: str) -> Column:
@@ -49,6 +53,21 @@ def parse_timestamp(c: Column, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Co
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))
 
 
+def guess_timestamp(c: Column) -> Column:
+    """An order's time: its two formats, then the engine's own reading of ISO dates and months first."""
+    return F.coalesce(parse_timestamp(c, ORDER_FORMATS), c.try_cast("timestamp"), parse_timestamp(c, ("yyyy/MM/dd", "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss")))
+
+
+def rounded(c: Column, digits: int = 2) -> Column:
+    """Half away from zero, by decimal digits: a double is first taken to 10 digits, so binary ties do not tell."""
+    return F.round(c.cast("decimal(38,10)"), digits).cast("double")
+
+
+def signed_percent(c: Column) -> Column:
+    """+1.5% or -2.0%, and n/a for a null."""
+    return F.when(c.isNull(), "n/a").otherwise(F.concat(F.when(c >= 0, "+").otherwise(""), F.format_number(c, 1), F.lit("%")))
+
+
 def forward_fill(c: str, keys: Sequence[str], order: Sequence[str]) -> Column:
     """The last value so far that is not null, within ``keys`` and in an explicit order."""
     return F.last(c, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))

@@ -62,6 +62,13 @@ def as_of(facts: DataFrame, dimension: DataFrame, key: str, day: str, attributes
     return facts.join(dim, held, "left").drop("__key", "effective_start_date", "effective_end_date")
 
 
+def as_of_strict(facts: DataFrame, dimension: DataFrame, key: str, day: str, attributes: Sequence[str]) -> DataFrame:
+    """``as_of`` without the facts whose key has versions, but none that held on ``day``."""
+    known = dimension.select(F.col(key).alias("__known")).distinct()
+    held = as_of(facts, dimension, key, day, attributes).join(known, F.col(key) == F.col("__known"), "left")
+    return held.where(F.col(f"{key}_sk").isNotNull() | F.col("__known").isNull()).drop("__known")
+
+
 def with_fallback(facts: DataFrame, dimension: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
     """Facts that no version held for take the key's earliest one, and say so in ``{key}_is_estimated``."""
     cols = [f"{key}_sk", *attributes]

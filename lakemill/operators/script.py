@@ -8,6 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
+from lakemill.sources.fs import Files
+
 HEADING = re.compile(r"^--\s*(\d+)\.\s*(.+)$", re.MULTILINE)
 
 
@@ -34,3 +36,17 @@ def run(spark: SparkSession, text: str, preview: int = 10) -> list[tuple[str, li
         except PySparkException as e:
             out.append((title, [], 0, type(e).__name__))
     return out
+
+
+def write(spark: SparkSession, text: str, path: str, preview: int = 10) -> None:
+    """Runs a file of statements and writes each title, its columns, first rows and number of rows, or its error."""
+    lines = []
+    for title, rows, total, error in run(spark, text, preview):
+        lines.append(f"== {title}")
+        if error:
+            lines.append(f"ERROR: {error}")
+        else:
+            lines += [" | ".join(rows[0].__fields__)] if rows else []
+            lines += [" | ".join(map(str, row)) for row in rows]
+            lines.append(f"{total} rows in all")
+    Files(spark, path).write(path, "".join(f"{x}\n" for x in lines), overwrite=True)
