@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakemill.functions.cleaning import percent_change
-from lakemill.operators.report import period_comparison
+from lakemill.functions.cleaning import percent_change, rounded
+from lakemill.operators.ranking import ordered, tile
+from lakemill.operators.report import period_comparison, report_text, top_products
+from lakemill.operators.workspace import workspace
 from lakemill.plans.registry import REVENUE, Tables, double, money, query, revenue
+from lakemill.sources.fs import Files
 
 
 def _customer_revenue(t: Tables) -> DataFrame:
@@ -36,8 +39,9 @@ def w8_top_customers(t: Tables) -> DataFrame:
 @query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS orders FROM orders
     WHERE o_orderdate >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - INTERVAL 12 MONTH GROUP BY 1 ORDER BY 1""")
 def w8_orders_per_month(t: Tables) -> DataFrame:
-    last = t.orders.agg(F.add_months(F.max("o_orderdate").cast("date"), -12).cast("timestamp").alias("since"))
-    recent = t.orders.join(F.broadcast(last), F.col("o_orderdate") >= F.col("since"))
+    """The last day is asked for first, so that the filter is a constant and prunes the scan."""
+    last = t.orders.agg(F.max("o_orderdate").cast("date").alias("last")).first()["last"]
+    recent = t.orders.where(F.col("o_orderdate") >= F.add_months(F.lit(last), -12).cast(t.orders.schema["o_orderdate"].dataType))
     return recent.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("orders")).orderBy("month")
 
 
@@ -110,10 +114,10 @@ def w8_monthly_tiers(t: Tables) -> DataFrame:
 
 @query(f"""SELECT o_custkey, CAST(r AS DOUBLE) AS revenue, CASE ntile(4) OVER (ORDER BY r DESC, o_custkey) WHEN 1 THEN 'Platinum' WHEN 2 THEN 'Gold' WHEN 3 THEN 'Silver' ELSE 'Bronze' END AS grade FROM {CUSTOMER_REVENUE} x""")
 def w8_ntile(t: Tables) -> DataFrame:
-    """Quartiles of one row per customer; the global window sees the aggregate only."""
-    quarter = F.ntile(4).over(W.orderBy(F.desc("r"), "o_custkey"))
-    grade = F.when(F.col("quarter") == 1, "Platinum").when(F.col("quarter") == 2, "Gold").when(F.col("quarter") == 3, "Silver").otherwise("Bronze")
-    return _customer_revenue(t).withColumn("quarter", quarter).select("o_custkey", double(F.col("r")).alias("revenue"), grade.alias("grade"))
+    """Quartiles of one row per customer, in ranges of revenue where customers are many."""
+    quarter = tile(4)
+    grade = F.when(quarter == 1, "Platinum").when(quarter == 2, "Gold").when(quarter == 3, "Silver").otherwise("Bronze")
+    return ordered(_customer_revenue(t), "r", ["o_custkey"]).select("o_custkey", double(F.col("r")).alias("revenue"), grade.alias("grade"))
 
 
 @query(f"""WITH monthly AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(sum({REVENUE}) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
@@ -141,10 +145,9 @@ def w8_first_last(t: Tables) -> DataFrame:
 @query(f"""SELECT o_custkey, CAST(r AS DOUBLE) AS revenue, CAST(sum(r) OVER (ORDER BY r DESC, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running,
     CAST(sum(r) OVER (ORDER BY r DESC, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) * 100.0 / CAST(sum(r) OVER () AS DOUBLE) AS share FROM {CUSTOMER_REVENUE} x""")
 def w8_cumulative_share(t: Tables) -> DataFrame:
-    """One row per customer reaches the global window."""
-    so_far = F.sum("r").over(W.orderBy(F.desc("r"), "o_custkey").rowsBetween(W.unboundedPreceding, W.currentRow))
-    every = F.sum("r").over(W.partitionBy())
-    return _customer_revenue(t).select("o_custkey", double(F.col("r")).alias("revenue"), double(so_far).alias("running"), (double(so_far) * 100.0 / double(every)).alias("share"))
+    found = ordered(_customer_revenue(t), "r", ["o_custkey"], {"r": "r"})
+    running, total = double(F.col("running_r")), double(F.col("total_r"))
+    return found.select("o_custkey", double(F.col("r")).alias("revenue"), running.alias("running"), (running * 100.0 / total).alias("share"))
 
 
 @query("""WITH first AS (SELECT o_custkey, min(o_orderdate) AS start FROM orders GROUP BY 1),
@@ -165,14 +168,15 @@ def w8_cohorts(t: Tables) -> DataFrame:
     SELECT pa.p_name AS product_a, pb.p_name AS product_b, CAST(count(DISTINCT a.l_orderkey) AS BIGINT) AS orders FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
     JOIN part pa ON a.l_partkey = pa.p_partkey JOIN part pb ON b.l_partkey = pb.p_partkey GROUP BY 1, 2 ORDER BY orders DESC, product_a, product_b LIMIT 20""")
 def w8_bought_together(t: Tables) -> DataFrame:
-    """Pairs within an order, whose lines are few; names repeat over ids, so orders are counted distinct by name."""
-    items = t.lineitem.select("l_orderkey", "l_partkey").distinct()
-    names = t.part.select("p_partkey", "p_name")
-    pairs = items.alias("a").join(items.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey")))
-    pairs = pairs.select(F.col("a.l_orderkey").alias("order"), F.col("a.l_partkey").alias("ka"), F.col("b.l_partkey").alias("kb"))
-    named = pairs.join(names.withColumnRenamed("p_name", "product_a"), F.col("ka") == F.col("p_partkey")).drop("p_partkey")
-    named = named.join(names.withColumnRenamed("p_name", "product_b"), F.col("kb") == F.col("p_partkey"))
-    return named.groupBy("product_a", "product_b").agg(F.countDistinct("order").alias("orders")).orderBy(F.desc("orders"), "product_a", "product_b").limit(20)
+    """Pairs within an order, whose lines are few: the rows grow with the square of an order's lines, not of the orders.
+
+    Products are named first. Names repeat over ids, so a pair of names counts once an order; that is told where the
+    order's lines are together, and only counts of pairs are shuffled.
+    """
+    items = t.lineitem.select("l_orderkey", "l_partkey").distinct().join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_partkey", "p_name")
+    of = lambda k: items.select("l_orderkey", F.col("l_partkey").alias(f"key_{k}"), F.col("p_name").alias(f"product_{k}"))
+    pairs = of("a").join(of("b"), "l_orderkey").where("key_a < key_b").select("l_orderkey", "product_a", "product_b").distinct()
+    return pairs.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("orders")).orderBy(F.desc("orders"), "product_a", "product_b").limit(20)
 
 
 PERIOD = """SELECT 'current' AS period, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS orders, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS revenue
@@ -181,4 +185,45 @@ PERIOD = """SELECT 'current' AS period, CAST(count(DISTINCT o_orderkey) AS BIGIN
 
 @query(f"WITH c AS ({PERIOD}), p AS ({PERIOD.replace('current', 'previous').replace('1998-03-01', '1998-01-29').replace('1998-03-31', '1998-02-28')}) SELECT c.orders, c.customers, c.revenue, p.revenue AS revenue_before, CASE WHEN p.revenue = 0 THEN NULL ELSE (c.revenue - p.revenue) * 100.0 / p.revenue END AS change FROM c, p")
 def period_report(t: Tables) -> DataFrame:
-    return period_comparison(t.orders, "1998-03-01", "1998-03-31")
+    return period_comparison(t.orders, "1998-03-01", "1998-03-31").select("orders", "customers", "revenue", "revenue_before", "change")
+
+
+#: Orders at all hours, so that some are late on a period's last day.
+HOURS = "(SELECT * REPLACE (o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS o_orderdate) FROM orders)"
+
+
+def _at_hours(t: Tables) -> DataFrame:
+    return t.orders.withColumn("o_orderdate", F.expr("o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT), 0, 0)"))
+
+
+SOLD = f"""SELECT CAST(count(DISTINCT o_orderkey) AS BIGINT) AS orders, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers, CAST(coalesce(sum(sold), 0) AS DOUBLE) AS revenue
+    FROM {HOURS} o LEFT JOIN (SELECT l_orderkey, sum({REVENUE}) AS sold FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'"""
+
+
+@query(f"""WITH c AS ({SOLD}), p AS ({SOLD.replace('1998-03-01', '1998-01-29').replace('1998-03-31', '1998-02-28')})
+    SELECT c.orders, c.customers, c.revenue, p.orders AS orders_before, p.customers AS customers_before, p.revenue AS revenue_before, CASE WHEN p.revenue = 0 THEN NULL ELSE (c.revenue - p.revenue) * 100.0 / p.revenue END AS change FROM c, p""")
+def period_report_whole_days(t: Tables) -> DataFrame:
+    """Revenue of lines, and orders until the end of the last day."""
+    return period_comparison(_at_hours(t), "1998-03-01", "1998-03-31", t.lineitem)
+
+
+@query(f"""SELECT l_partkey, CAST(sum({REVENUE}) AS DOUBLE) AS revenue FROM lineitem JOIN {HOURS} o ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'
+    GROUP BY 1 ORDER BY revenue DESC, l_partkey LIMIT 3""")
+def period_top_products(t: Tables) -> DataFrame:
+    return top_products(t.lineitem, _at_hours(t), "1998-03-01", "1998-03-31")
+
+
+@query(f"""SELECT 'Orders: ' || format('{{:,}}', orders) AS line FROM ({SOLD.replace(HOURS, 'orders')}) x UNION ALL SELECT 'Customers: ' || format('{{:,}}', customers) FROM ({SOLD.replace(HOURS, 'orders')}) x UNION ALL SELECT 'Revenue: ' || format('{{:,.2f}}', revenue) FROM ({SOLD.replace(HOURS, 'orders')}) x""")
+def period_report_file(t: Tables) -> DataFrame:
+    """The printed report, written to a file and read again; here its first figures."""
+    path = f"{workspace(t.spark, 'report')}/march.txt"
+    Files(t.spark, path).write(path, report_text(t.spark, t.sf_dir, "monthly", "1998-03-01", "1998-03-31"))
+    return t.spark.read.text(path).where("value RLIKE '^(Orders|Customers|Revenue):'").select(F.col("value").alias("line"))
+
+
+@query(f"""SELECT p_type AS category, CAST(round(CAST(sum({REVENUE}) AS DECIMAL(28,4)), 2) AS DOUBLE) AS revenue, CAST(round(CAST(avg(CAST(l_quantity AS DOUBLE)) AS DECIMAL(28,10)), 2) AS DOUBLE) AS mean_quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def rounded_revenue(t: Tables) -> DataFrame:
+    """Rounded to cents as decimals, whose ties are no matter of binary fractions."""
+    by_part = t.lineitem.groupBy("l_partkey").agg(F.sum(revenue()).alias("r"), F.sum("l_quantity").alias("q"), F.count("l_quantity").alias("n"))
+    joined = by_part.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("category"))
+    return joined.agg(double(F.round(F.sum("r"), 2)).alias("revenue"), rounded(F.sum("q") / F.sum("n")).alias("mean_quantity"))

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakemill.functions.cleaning import blank_to, clip, forward_fill
+from lakemill.operators.catalog import create_database, create_table_as
 from lakemill.operators.dedup import duplicate_keys as duplicates
 from lakemill.operators.dedup import latest
+from lakemill.operators.ranking import ordered
 from lakemill.plans.registry import REVENUE, Tables, double, money, query, revenue
 
 
@@ -137,10 +139,9 @@ def drop_rows_with_nulls(t: Tables) -> DataFrame:
     return gaps.dropna(subset=["a", "b"]).select("o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(greatest(0, least(5, CAST(l_discount * 100 AS DECIMAL(6,2)))) AS DOUBLE) AS discount FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(greatest(0, least(5, CAST(l_discount * 100 AS DECIMAL(6,2)))) AS DOUBLE) AS discount FROM lineitem")
 def clip_discount(t: Tables) -> DataFrame:
-    lines = t.lineitem.where("l_linenumber = 1")
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", double(clip((F.col("l_discount") * 100).cast("decimal(6,2)"), 0, 5)).alias("discount"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", double(clip((F.col("l_discount") * 100).cast("decimal(6,2)"), 0, 5)).alias("discount"))
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END IGNORE NULLS) OVER
@@ -151,10 +152,16 @@ def ffill_events(t: Tables) -> DataFrame:
 
 
 @query("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
-def dedup_full(t: Tables) -> DataFrame:
+def dedup_lines(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber").dropDuplicates()
 
 
+@query("SELECT DISTINCT * FROM lineitem")
+def dedup_full(t: Tables) -> DataFrame:
+    """Whole rows, of a table that has every third order's lines twice."""
+    return t.lineitem.unionAll(t.lineitem.where("l_orderkey % 3 = 0")).dropDuplicates()
+
+
 #: Every column that orders the lines of one key.
 LINE_ORDER = [f"{c} DESC" for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "CAST(l_discount AS DECIMAL(4,2))", "l_tax", "l_returnflag", "l_linestatus")]
 
@@ -398,8 +405,8 @@ def cte_above_avg(t: Tables) -> DataFrame:
 
 @query(f"SELECT o_custkey, total, CAST(rank() OVER (ORDER BY total DESC) AS INTEGER) AS rank FROM ({TOTALS}) x")
 def rank_customers(t: Tables) -> DataFrame:
-    """Ranks one row per customer; the global window sees the aggregate only."""
-    return _totals(t).withColumn("rank", F.rank().over(W.orderBy(F.desc("total"))))
+    """Ranks one row per customer, in ranges of the total where customers are many."""
+    return ordered(_totals(t), "total").select("o_custkey", "total", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"SELECT * FROM (SELECT o_custkey, total, CAST(rank() OVER (ORDER BY total DESC) AS INTEGER) AS rank FROM ({TOTALS}) x) y WHERE rank <= 3")
@@ -419,13 +426,14 @@ def row_number_per_customer(t: Tables) -> DataFrame:
 @query(f"SELECT c_name, c_mktsegment, total, CAST(rank() OVER (ORDER BY total DESC) AS INTEGER) AS rank FROM ({TOTALS}) x JOIN customer ON o_custkey = c_custkey")
 def rank_join_final(t: Tables) -> DataFrame:
     joined = _totals(t).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select("c_name", "c_mktsegment", "total", F.rank().over(W.orderBy(F.desc("total"))).alias("rank"))
+    return ordered(joined.select("c_name", "c_mktsegment", "total"), "total").select("c_name", "c_mktsegment", "total", F.col("rank").cast("int").alias("rank"))
 
 
 @query("SELECT DISTINCT c_custkey AS customer_id, c_mktsegment, c_nationkey FROM customer")
 def ctas_distinct(t: Tables) -> DataFrame:
-    """The normalised table that CREATE TABLE AS SELECT DISTINCT would make."""
-    return t.customer.select(F.col("c_custkey").alias("customer_id"), "c_mktsegment", "c_nationkey").distinct()
+    """The normalised table that CREATE TABLE AS SELECT DISTINCT makes, read by its name."""
+    shop = create_database(t.spark, "normal")
+    return create_table_as(t.spark, f"{shop}.customers", "SELECT DISTINCT c_custkey AS customer_id, c_mktsegment, c_nationkey FROM {customer}", customer=t.customer)
 
 
 @query("""SELECT o_orderkey, o_custkey, o_orderpriority AS coupon_code FROM orders WHERE o_orderstatus = 'F'

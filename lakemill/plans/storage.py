@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.operators import catalog
 from lakemill.operators.constraints import violations
-from lakemill.operators.tables import Transaction, VersionedTable
+from lakemill.operators.tables import CommitConflict, ConstraintViolation, Transaction, VersionedTable
 from lakemill.operators.workspace import workspace
 from lakemill.plans.registry import Tables, double, query
-from lakemill.sources import files, synthetic
-from lakemill.streaming.ingest import ingest
+from lakemill.sources import files, fs, synthetic
+from lakemill.streaming.ingest import SchemaChanged, SchemaLog, ingest, ingest_feed
 
 
 def _customers(t: Tables) -> VersionedTable:
@@ -79,7 +80,58 @@ def time_travel_as_of(t: Tables) -> DataFrame:
 def history(t: Tables) -> DataFrame:
     table = _customers(t)
     table.merge(_feed(t), ["c_custkey"])
-    return table.history()
+    return table.history().select("version", "operation", "rows")
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), TIMESTAMP '1970-01-01 00:00:00', 'CREATE'), (1, TIMESTAMP '1970-01-01 00:00:01', 'MERGE'), (2, TIMESTAMP '1970-01-01 00:00:02', 'UPDATE')) x(version, timestamp, operation)")
+def history_with_time(t: Tables) -> DataFrame:
+    table = _customers(t)
+    table.merge(_feed(t), ["c_custkey"])
+    table.update(F.col("c_custkey") == 1, {"c_mktsegment": F.lit("GONE")})
+    return table.history().select("version", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "operation")
+
+
+@query("""SELECT 'rows' AS name, CAST((SELECT count(*) FROM customer WHERE c_custkey % 2 = 1) + 1 AS BIGINT) AS n UNION ALL SELECT 'conflicts', CAST(2 AS BIGINT)
+    UNION ALL SELECT 'gone', CAST(0 AS BIGINT)""")
+def concurrent_writers(t: Tables) -> DataFrame:
+    """An update and a transaction that another writer got ahead of fail; the row that was appended stays."""
+    path = workspace(t.spark, "shared")
+    one, other = VersionedTable(t.spark, path), VersionedTable(t.spark, path)
+    one.commit(t.customer.where("c_custkey % 2 = 1").select("c_custkey", "c_name"))
+    changed = one.updated(F.lit(True), {"c_name": F.lit("GONE")})
+    txn, conflicts = Transaction(t.spark, path), 0
+    txn.commit(one, changed)
+    other.commit(t.spark.createDataFrame([(-1, "new")], "c_custkey long, c_name string"), mode="append")
+    for attempt in (lambda: one.commit(changed, operation="UPDATE"), lambda: txn.__exit__(None, None, None)):
+        try:
+            attempt()
+        except CommitConflict:
+            conflicts += 1
+    rows = other.read()
+    told = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("c_name") == "GONE").alias("gone"), F.lit(conflicts).cast("long").alias("conflicts"))
+    return told.select(F.explode(F.create_map(*(x for c in told.columns for x in (F.lit(c), F.col(c))))).alias("name", "n"))
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, CAST(p_retailprice AS DECIMAL(10,2)) AS price, 'new' AS state FROM part WHERE p_retailprice > 905
+    UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), 'not_null_name', CAST(NULL AS DECIMAL(10,2)), 'rejected'), (-2, 'price_positive', NULL, 'rejected'), (-3, 'id_key', NULL, 'rejected'), (-4, 'brand_fk', NULL, 'rejected')) x""")
+def constrained_table(t: Tables) -> DataFrame:
+    """Constraints and a default are part of the table; a batch with a row that breaks one adds nothing."""
+    root = workspace(t.spark, "constrained")
+    brands = VersionedTable(t.spark, f"{root}/brands")
+    brands.commit(t.part.select("p_brand").distinct())
+    table = VersionedTable(t.spark, f"{root}/parts")
+    table.create("id long, name string, price decimal(10,2), brand string, state string", not_null=["name"], defaults={"state": "'new'"}, checks={"price_positive": "price > 0"}, unique={"id_key": ["id"]}, foreign={"brand_fk": ("brand", f"{root}/brands", "p_brand")})
+    table.insert(t.part.where("p_retailprice > 905").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("brand")))
+    least = t.part.where("p_retailprice > 905").agg(F.min("p_partkey").alias("id"))
+    new = t.spark.range(1).select(F.lit(-9).cast("long").alias("id"), F.lit("x").alias("name"), F.lit(1).alias("price"), F.lit(None).cast("string").alias("brand"))
+    bad = [new.withColumn("name", F.lit(None)), new.withColumn("price", F.lit(-50)), least.select("id", F.lit("x").alias("name"), F.lit(1).alias("price"), F.lit(None).cast("string").alias("brand")), new.withColumn("brand", F.lit("nowhere"))]
+    told = []
+    for k, rows in enumerate(bad, 1):
+        try:
+            table.insert(rows)
+        except ConstraintViolation as e:
+            told.append((-k, *e.broken, None, "rejected"))
+    return table.read().drop("brand").unionByName(t.spark.createDataFrame(told, "id long, name string, price decimal(10,2), state string"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS coupon_code FROM customer")
@@ -191,3 +243,125 @@ def layout_by_key(t: Tables) -> DataFrame:
     path = workspace(t.spark, "layout")
     t.orders.select("o_orderkey", double(F.col("o_totalprice")).alias("o_totalprice"), "o_orderpriority").write.partitionBy("o_orderpriority").parquet(path)
     return t.spark.read.parquet(path).where("o_orderpriority = '5-LOW'").select("o_totalprice", "o_orderkey")
+
+
+@query("SELECT column_name, data_type FROM (VALUES ('p_partkey', 'int'), ('p_name', 'string'), ('p_retailprice', 'double'), ('since', 'date')) x(column_name, data_type)")
+def csv_infer_schema(t: Tables) -> DataFrame:
+    """Types that the reader finds in a CSV file with a header."""
+    path = workspace(t.spark, "infer")
+    files.write_csv(t.part.select("p_partkey", "p_name", (F.col("p_retailprice") + 0.25).alias("p_retailprice"), F.lit("2024-01-02").alias("since")), path)
+    found = files.read_csv(t.spark, path, infer=True)
+    return t.spark.createDataFrame(found.dtypes, "column_name string, data_type string")
+
+
+@query("SELECT * FROM (VALUES ('a.txt', CAST(5 AS BIGINT)), ('b.txt', 0)) x(name, size)")
+def file_listing(t: Tables) -> DataFrame:
+    path = workspace(t.spark, "listed")
+    for name, text in (("a.txt", "hello"), ("b.txt", "")):
+        fs.Files(t.spark, path).write(f"{path}/{name}", text)
+    return fs.listing(t.spark, path)
+
+
+@query("SELECT 'part.parquet' AS source_file, CAST(count(*) AS BIGINT) AS n FROM part")
+def input_file_names(t: Tables) -> DataFrame:
+    return t.part.select(F.regexp_extract(F.input_file_name(), r"([^/]+\.parquet)", 1).alias("source_file")).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, true AS in_order FROM part")
+def sequenced_rows(t: Tables) -> DataFrame:
+    """Rows of a file keep their order in ``ingest_seq``."""
+    path = workspace(t.spark, "sequenced")
+    files.write_csv(t.part.select("p_partkey").orderBy("p_partkey"), path, single=True)
+    rows = files.with_sequence(files.read_csv(t.spark, path, "p_partkey long"))
+    pairs = F.array_sort(F.collect_list(F.struct("ingest_seq", "p_partkey")))
+    keys = F.transform(pairs, lambda x: x["p_partkey"])
+    return rows.agg(F.countDistinct("ingest_seq").alias("n"), (keys == F.array_sort(keys)).alias("in_order"))
+
+
+@query("""SELECT * FROM (VALUES ('customers', 'customer_id', 'bigint'), ('customers', 'segment', 'string'), ('orders', 'order_id', 'bigint'), ('orders', 'total', 'double')) x(table_name, column_name, data_type)""")
+def catalog_tables(t: Tables) -> DataFrame:
+    """Tables and columns of a database, as its catalog lists them."""
+    shop = catalog.create_database(t.spark, "shop")
+    catalog.create_table_as(t.spark, f"{shop}.customers", "SELECT DISTINCT c_custkey AS customer_id, c_mktsegment AS segment FROM {customer}", customer=t.customer)
+    catalog.create_table_as(t.spark, f"{shop}.orders", "SELECT o_orderkey AS order_id, o_totalprice AS total FROM {orders}", orders=t.orders)
+    return catalog.columns(t.spark, shop).drop("place")
+
+
+@query("SELECT c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1")
+def table_by_name(t: Tables) -> DataFrame:
+    """A table of the catalog, written by a DataFrame and read by its name."""
+    shop = catalog.create_database(t.spark, "named")
+    t.customer.select("c_custkey", F.col("c_mktsegment").alias("segment")).write.mode("overwrite").saveAsTable(f"{shop}.customers")
+    return t.spark.table(f"{shop}.customers").groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS id, upper(c_name) AS name FROM customer")
+def overwrite_schema(t: Tables) -> DataFrame:
+    """An overwrite may bring another schema; older versions keep theirs."""
+    table = VersionedTable(t.spark, workspace(t.spark, "replaced"))
+    table.commit(t.customer.select("c_custkey", "c_acctbal"))
+    table.commit(t.customer.select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name")))
+    assert table.read(0).columns == ["c_custkey", "c_acctbal"]
+    return table.read()
+
+
+@query("""SELECT 'orders' AS feed, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE o_orderkey % 2 = 1) AS BIGINT) AS coupons, CAST(1 AS BIGINT) AS stops FROM orders
+    UNION ALL SELECT 'customers', CAST(count(*) AS BIGINT), 0, 0 FROM customer UNION ALL SELECT 'products', CAST(count(*) AS BIGINT), 0, 0 FROM part""")
+def stream_three_feeds(t: Tables) -> DataFrame:
+    """Three feeds of CSV files into tables. The second day's orders have a column more: the run stops, the next goes on."""
+    base, told = workspace(t.spark, "landing"), []
+    days = {
+        "orders": [t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey"), t.orders.where("o_orderkey % 2 = 1").select(F.lit("C").alias("coupon_code"), "o_orderkey", "o_custkey")],
+        "customers": [t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), t.customer.where("c_custkey % 2 = 1").select("c_custkey", "c_name")],
+        "products": [t.part.select("p_partkey", "p_name")],
+    }
+    for feed, parts in days.items():
+        table, log, stops = VersionedTable(t.spark, f"{base}/{feed}_table"), SchemaLog(t.spark, f"{base}/{feed}_schema"), 0
+        run = lambda feed=feed, table=table, log=log: ingest_feed(t.spark, f"{base}/{feed}", table, f"{base}/{feed}_checkpoint", log, "2024-01-01 00:00:00")
+        for day, rows in enumerate([*parts, None]):
+            if rows is not None:
+                files.write_csv(rows, f"{base}/{feed}/{day}", single=True)
+            try:
+                run()
+            except SchemaChanged:
+                stops += 1
+                run()
+        rows = table.read()
+        coupons = F.count("coupon_code") if "coupon_code" in rows.columns else F.lit(0)
+        told.append(rows.where("source_file IS NOT NULL AND load_type = 'incremental' AND ingestion_ts IS NOT NULL").agg(F.lit(feed).alias("feed"), F.count(F.lit(1)).alias("n"), coupons.cast("long").alias("coupons"), F.lit(stops).cast("long").alias("stops")))
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+NUMBERS = "SELECT CAST(count(*) AS BIGINT) FROM range({n}) r(i) WHERE {where}"
+
+
+def _numbers(n: int, copies: int, where: str = "true") -> str:
+    """How many of n rows fit, with every ``copies``-th row there twice."""
+    return f"(({NUMBERS.format(n=n, where=where)}) + ({NUMBERS.format(n=n, where=f'({where}) AND i % {copies} = 0')}))"
+
+
+@query(f"""SELECT * FROM (VALUES ('customers', {_numbers(1000, 25)}), ('no_customer_id', {_numbers(1000, 25, 'i % 60 = 1')}), ('products', {_numbers(1000, 12)}), ('stores', {_numbers(30, 6)}), ('sales', {_numbers(2000, 33)}),
+    ('late', {_numbers(2000, 33, 'i % 12 = 5 AND i % 81 <> 1')}), ('no_order', ({NUMBERS.format(n=2000, where='i % 125 = 3')})), ('returned', ({NUMBERS.format(n=2000, where='i % 34 = 1')})), ('new_customers', ({NUMBERS.format(n=200, where='i % 10 = 9')}))) x(name, n)""")
+def synthetic_entities(t: Tables) -> DataFrame:
+    """Every kind of row that the generators make, with some of the dirt in them counted."""
+    s, spark = synthetic, t.spark
+    people, sold, lines = s.customers(spark, 1000), s.sales(spark, 2000, "2026-04-26", 1000, 300, 25), s.items(spark, 2000, 1000, 300)
+    told = {
+        "customers": people, "no_customer_id": people.where("customer_id = ''"), "products": s.products(spark, 1000), "stores": s.stores(spark, 30), "sales": sold,
+        "late": sold.where("try_cast(order_date AS DATE) < DATE '2026-04-26'"), "no_order": lines.where("order_id >= 1000"), "returned": lines.where("quantity < 0"), "new_customers": s.changes(spark, 200, "2026-04-26", 1000).where("CAST(customer_id AS BIGINT) >= 1000"),
+    }
+    out = None
+    for name, rows in told.items():
+        one = rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT s_suppkey AS store_id, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+def store_revenue_csv(t: Tables) -> DataFrame:
+    """A small report as one CSV file with a header."""
+    path = workspace(t.spark, "stores")
+    by_store = t.lineitem.groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("r"))
+    joined = by_store.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("store_id"), F.col("r").alias("revenue"))
+    files.write_csv(joined.orderBy(F.desc("revenue"), "store_id"), path, single=True)
+    return files.read_csv(t.spark, path, "store_id long, revenue double")

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakemill.functions import cleaning as C
-from lakemill.operators import scd2, script
+from lakemill.operators import ranking, scd2, script
 from lakemill.operators.constraints import split, violations
-from lakemill.operators.report import previous_period
-from lakemill.operators.tables import CommitConflict, Transaction, VersionedTable
+from lakemill.operators.report import period_comparison, previous_period
+from lakemill.operators.tables import CommitConflict, ConstraintViolation, Transaction, VersionedTable
 from lakemill.sources import files
 from lakemill.streaming import ingest as stream
 
@@ -154,3 +154,108 @@ SELECT * FROM script_few;
     found = script.run(spark, text)
     assert [(title, len(rows), total) for title, rows, total, _ in found] == [("all", 10, 1000), ("late", 0, 0), ("none", 0, 0), ("view", 0, 0), ("few", 3, 3)]
     assert [x[0] for x in found[0][1]] == list(range(10)) and [title for title, *_, error in found if error] == ["late"]
+
+
+def test_lost_updates_are_refused(spark, tmp_path):
+    one, other = VersionedTable(spark, str(tmp_path / "t")), VersionedTable(spark, str(tmp_path / "t"))
+    one.commit(spark.createDataFrame([(1, "a")], "k int, v string"))
+    changed = one.updated(F.lit(True), {"v": F.lit("z")})
+    other.commit(spark.createDataFrame([(2, "b")], "k int, v string"), mode="append")
+    with pytest.raises(CommitConflict):
+        one.commit(changed, operation="UPDATE")
+    assert values(other.read(), "k", "v") == [(1, "a"), (2, "b")]
+    one.update(F.col("k") == 2, {"v": F.lit("z")})
+    assert values(other.read(), "k", "v") == [(1, "a"), (2, "z")]
+
+
+def test_an_append_follows_whatever_came_first(spark, tmp_path):
+    one, other = VersionedTable(spark, str(tmp_path / "t")), VersionedTable(spark, str(tmp_path / "t"))
+    one.commit(spark.range(1))
+    stage = one.stage
+
+    def late(*args, **how):
+        staged = stage(*args, **how)
+        other.commit(spark.range(2), mode="append")
+        return staged
+
+    one.stage = late
+    assert one.commit(spark.range(3), mode="append") == 2
+    assert one.read().count() == 6 and one.latest()["rows"] == 6
+
+
+def test_a_pending_transaction_is_given_up_for_an_append(spark, tmp_path):
+    a, b = VersionedTable(spark, str(tmp_path / "a")), VersionedTable(spark, str(tmp_path / "b"))
+    for t in (a, b):
+        t.commit(spark.range(3))
+    txn = Transaction(spark, str(tmp_path))
+    txn.commit(a, spark.range(10), mode="append")
+    txn.commit(b, spark.range(10), mode="append")
+    for table, path, text in txn.staged:  # between its entries and its manifest
+        table.files.publish(path, text)
+    VersionedTable(spark, str(tmp_path / "a")).commit(spark.range(1), mode="append")
+    with pytest.raises(CommitConflict):
+        txn.files.publish(txn.manifest, '{"state": "committed"}')
+    assert (a.read().count(), b.read().count()) == (4, 3)
+
+
+def test_constraints_of_a_table(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.create("k int, v string, n int", not_null=["v"], defaults={"n": "7"}, checks={"n_small": "n < 10"}, unique={"k_once": ["k"]})
+    table.insert(spark.createDataFrame([(1, "a")], "k int, v string"))
+    with pytest.raises(ConstraintViolation) as broken:
+        table.insert(spark.createDataFrame([(1, "b", 1), (2, None, 1), (3, "c", 11), (4, "d", 1), (4, "e", 1)], "k int, v string, n int"))
+    assert broken.value.broken == {"k_once": 2, "not_null_v": 1, "n_small": 1}
+    assert values(table.read(), "k", "v", "n") == [(1, "a", 7)]
+
+
+@pytest.mark.parametrize("most", [7, 1000])
+def test_ranks_and_sums_in_ranges_are_those_of_one_task(spark, most):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 0, 0, 1, 2, rng.randrange(50)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, v long").repartition(3)
+    found = ranking.ordered(df, "v", ["k"], {"s": "v"}, most).withColumns({"tile": ranking.tile(4), "many": ranking.tile(100)})
+    df.createOrReplaceTempView("ranked")
+    order = "ORDER BY v DESC NULLS LAST, k"
+    told = spark.sql(f"SELECT k, row_number() OVER ({order}) AS place, rank() OVER (ORDER BY v DESC NULLS LAST) AS rank, sum(v) OVER ({order} ROWS UNBOUNDED PRECEDING) AS running_s, sum(v) OVER () AS total_s, ntile(4) OVER ({order}) AS tile, ntile(100) OVER ({order}) AS many FROM ranked")
+    assert values(found, *told.columns) == values(told, *told.columns)
+
+
+def test_a_feed_stops_at_new_columns_and_goes_on(spark, tmp_path):
+    feed, table, log = tmp_path / "feed", VersionedTable(spark, str(tmp_path / "t")), stream.SchemaLog(spark, str(tmp_path / "log"))
+    feed.mkdir()
+    (feed / "1.csv").write_text("a,b\n1,x\n")
+    run = lambda: stream.ingest_feed(spark, str(feed), table, str(tmp_path / "c"), log, "2024-01-01 00:00:00")
+    run()
+    (feed / "2.csv").write_text('"b, too",a\nnew,2\n')
+    with pytest.raises(stream.SchemaChanged):
+        run()
+    assert table.read().count() == 1
+    run()
+    run()
+    assert values(table.read(), "a", "b", "b, too") == [("1", "x", None), ("2", None, "new")]
+    with pytest.raises(Exception, match="not declared"):
+        stream.ingest_drifting_csv(spark, str(feed), str(tmp_path / "d"), str(tmp_path / "dc"), ["a", "b"])
+
+
+def test_timestamps_of_events_have_days_first_and_those_of_orders_are_guessed(spark):
+    rows = spark.createDataFrame([("05/01/2024",), ("25/12/2024",), ("2024-01-02",), ("2024-01-02T03:04:05",), ("31/02/2024",), (None,)], "x string")
+    assert [r[0] and str(r[0])[:10] for r in rows.select(C.parse_timestamp(F.col("x"), C.EVENT_FORMATS)).collect()] == ["2024-01-05", "2024-12-25", "2024-01-02", "2024-01-02", None, None]
+    rows = spark.createDataFrame([("05-01-2024",), ("2024-01-02",), ("05/01/2024",), ("2026-13-40",), ("",)], "x string")
+    assert [r[0] and str(r[0])[:10] for r in rows.select(C.guess_timestamp(F.col("x"))).collect()] == ["2024-01-05", "2024-01-02", "2024-05-01", None, None]
+
+
+def test_a_period_ends_with_its_last_day_and_never_before_it_starts(spark):
+    orders = spark.createDataFrame([(1, 1, 10.0, "2024-03-31 15:00:00"), (2, 1, 5.0, "2024-04-01 00:00:00"), (3, 2, 4.0, "2024-02-29 23:59:59")], "o_orderkey long, o_custkey long, o_totalprice double, at string")
+    orders = orders.withColumn("o_orderdate", F.col("at").cast("timestamp"))
+    found = period_comparison(orders, "2024-03-01", "2024-03-31").first()
+    assert (found["orders"], found["revenue"], found["orders_before"], found["revenue_before"], found["change"]) == (1, 10.0, 1, 4.0, 150.0)
+    with pytest.raises(ValueError, match="before it starts"):
+        period_comparison(orders, "2024-03-31", "2024-03-01")
+    with pytest.raises(ValueError):
+        period_comparison(orders, "31-03-2024", "2024-04-01")
+
+
+def test_strict_versions_leave_out_what_is_before_them(spark):
+    versions = spark.createDataFrame([("s1", 1, "a", date(2024, 1, 5), date(9999, 12, 31))], "id_sk string, id int, v string, effective_start_date date, effective_end_date date")
+    facts = spark.createDataFrame([(1, 1, date(2024, 1, 4)), (2, 1, date(2024, 1, 5)), (3, 2, date(2024, 1, 1))], "f int, id int, on_day date")
+    assert values(scd2.as_of_strict(facts, versions, "id", "on_day", ["v"]), "f", "v") == [(2, "a"), (3, None)]
