@@ -5,24 +5,46 @@ from __future__ import annotations
 import gc
 import hashlib
 import io
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce, wraps
+from operator import or_
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Hashes in a table of bits, 2 to this power: at most 2 ** (BITS - 6) rows of two numbers, whatever the input.
+BITS = 24
+
+#: Rows of one key from which a join deals them over SALTS tasks.
+HOT = 5000
+SALTS = 64
+
+#: What empties each cache that Python workers keep from task to task, by name.
+CACHES: dict[str, Callable[[], None]] = {}
+#: Edges that a task contracts at once.
+CONTRACTED = 1_000_000
+#: Paths of the tables made in each of the running operators.
+_SCOPES: list[set[str]] = []
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is made.
+    A cluster names it in ``spark.checkpoint.dir``; only a local master, as in tests, gets a local one where that is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(spark, "_lakemill_scratch", None):
         spark._lakemill_scratch = tempfile.mkdtemp(prefix="lakemill-")
     return spark._lakemill_scratch
@@ -58,16 +80,55 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    for scope in _SCOPES:
+        scope.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table that ``cut`` made, once nothing reads it any more."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"/{spark.sparkContext.applicationId}/" in path or "/lakemill-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    read = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    delete(spark, (x for x in read if f"/{spark.sparkContext.applicationId}/" in x or "/lakemill-" in x))
+
+
+@contextmanager
+def tables_made() -> Iterator[set[str]]:
+    """The paths of the tables that are made within."""
+    made: set[str] = set()
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that deletes the tables it has made, but for those that its result still reads."""
+
+    @wraps(operator)
+    def run(*args: object, **how: object) -> DataFrame:
+        with tables_made() as made:
+            found = operator(*args, **how)
+        read = {f.rsplit("/", 2)[-2] for f in found.inputFiles()}
+        delete(found.sparkSession, (path for path in made if path.rsplit("/", 1)[1] not in read))
+        release(found.sparkSession)
+        return found
+
+    return run
+
+
+def only(name: str) -> None:
+    """In a worker: empties the caches of other operators, whose tasks may have run there before."""
+    for other, empty in CACHES.items():
+        if other != name:
+            empty()
 
 
 def release(spark: SparkSession) -> None:
@@ -94,12 +155,84 @@ def tree_merge(blobs: DataFrame, dtype: str, size: int, merge: np.ufunc = np.add
     return np.frombuffer(rows.treeAggregate(zero, both, both, depth=3) if rows.getNumPartitions() else zero, dtype)
 
 
+def _slot(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - BITS + 6)
+
+
+def bit_table(keys: DataFrame) -> DataFrame:
+    """(slot, mask) for the 64-bit hashes in the only column of ``keys``: a set of fixed size that may be sent to all tasks."""
+    key = F.col(f"`{keys.columns[0]}`")
+    bit = F.expr("shiftleft(1L, CAST(place AS INT))")
+    places = keys.select(_slot(key).alias("slot"), (F.shiftrightunsigned(key, 64 - BITS) % 64).alias("place"))
+    return cut(places.groupBy("slot").agg(F.bit_or(bit).alias("mask")), "bits")
+
+
+def maybe_in(rows: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+    """Adds the boolean ``name``: true for every key of the set ``bits``, and for few others while the set is sparse."""
+    place = F.shiftrightunsigned(key, 64 - BITS) % 64
+    told = rows.join(F.broadcast(bits.select(F.col("slot").alias("__slot"), F.col("mask").alias("__mask"))), _slot(key) == F.col("__slot"), "left")
+    hit = F.coalesce(F.col("__mask").bitwiseAND(F.expr("shiftleft(1L, CAST(__place AS INT))")) != 0, F.lit(False))
+    return told.withColumn("__place", place).withColumn(name, hit).drop("__slot", "__mask", "__place")
+
+
+def hot_join(rows: DataFrame, told: DataFrame, key: list[str], n: str, *by: str, how: str = "inner", hint: str | None = None) -> DataFrame:
+    """``rows`` joined with ``told``, which has each key once and in ``n`` how many rows have it.
+
+    Rows of a key that more than HOT have are dealt over SALTS tasks by a hash of the columns ``by``, and ``told``
+    goes to each of them; rows without a key, which meet nothing, are dealt likewise. Which keys are hot is sent as a
+    set of fixed size.
+    """
+    hashed = F.xxhash64(*key)
+    hot = bit_table(told.where(F.col(n) > HOT).select(hashed))
+    last = F.when(F.col("__hot"), F.lit(SALTS - 1)).otherwise(F.lit(0))
+    told = maybe_in(told, hashed, hot, "__hot").withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop("__hot")
+    spread = F.col("__hot") | reduce(or_, (F.col(k).isNull() for k in key))
+    salt = F.when(spread, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    rows = maybe_in(rows, hashed, hot, "__hot").withColumn("__salt", salt).drop("__hot")
+    return rows.join(told.hint(hint) if hint else told, [*key, "__salt"], how).drop("__salt")
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges that is not the smallest of its component, and that smallest one."""
+    nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = np.split(inverse, 2)
+    parent = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        if (low == high).all():
+            break
+        np.minimum.at(parent, high, low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    kept = parent != np.arange(len(nodes))
+    return nodes[kept], nodes[parent[kept]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) of numbers with the same components: those that a task has, as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))], ["u", "v"])
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > CONTRACTED:
+                yield done()
+                held = []
+        if held:
+            yield done()
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): the smallest node that links reach.
 
-    Alternates large and small stars until no edge changes. Minima are aggregated before the shuffle and joined
+    Edges are contracted within each task first; then large and small stars alternate until no edge changes. Minima are aggregated before the shuffle and joined
     back, so that a hub's edges can be split among tasks; each round ends in a table in the shared folder.
     """
+    if all(kind == "bigint" for _, kind in edges.dtypes):
+        edges = _contracted(edges.where("u <> v"))
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
