@@ -1,4 +1,4 @@
-"""Repeated passages by sparse suffixes: runs at minimiser positions, hashed and grouped by equal hash."""
+"""Repeated passages by sparse suffixes: those at minimisers are sorted, compared with their neighbours and extended."""
 
 from __future__ import annotations
 
@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from lakemill.llm import common
 from lakemill.llm.jaccard import _mix, gram_hashes, word_hashes
 
-#: Words of the shortest passage that is found, and of the runs among which minimisers are selected.
+#: Words of the shortest passage that is found.
 PASSAGE = 50
-#: Words of the grams that minimisers are chosen from; PASSAGE - GRAM + 1 must fit in a mask of 62 bits.
+#: Words of the grams that minimisers are chosen from.
 GRAM = 8
 #: Bits of the map of repeated anchors, 2 to this power.
 MAP_BITS = 24
 #: Runs whose minimisers are selected at once.
 BLOCK = 1 << 16
+#: Bytes of results that a task holds before it hands them on, about.
+HELD = 8_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -39,45 +41,58 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def passage_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """A hash of every run of ``length`` words, from differences of one cumulative polynomial."""
-    n = len(words) - length + 1
+def passage_hashes(words: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """For each of ``lengths`` a hash of every run of so many words, from differences of one cumulative polynomial."""
     total = np.concatenate([[np.uint64(0)], np.cumsum(words * _powers(_INVERSE, len(words)), dtype=np.uint64)])
-    return _mix((total[length:] - total[:-length]) * _powers(_BASE, n))
+    return [_mix((total[n:] - total[:-n]) * _powers(_BASE, len(words) - n + 1)) for n in lengths]
 
 
-def anchors(words: np.ndarray, length: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The minimisers of a text's runs of ``length`` words: the hash of each, its first run and the one past its last.
+def window_of(length: int, gram: int) -> int:
+    """Grams among which a minimiser is selected: half of a passage's, so that more than half a passage follows it."""
+    return max(1, (length - gram + 1) // 2)
 
-    The minimiser of a run is its smallest gram, the leftmost of equal ones; neighbouring runs share it.
+
+def selected(words: np.ndarray, length: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The selected places of a text, for each its first run of ``length`` words, and the one past its last.
+
+    Every run selects the smallest of its first ``window_of`` grams, the leftmost of equal ones; neighbours share it.
+    So equal runs select the same place, whatever stands around them.
     """
     grams = gram_hashes(words, gram)
-    runs, width = len(words) - length + 1, length - gram + 1
+    runs, width = len(words) - length + 1, window_of(length, gram)
     at = np.empty(runs, np.int64)
     for i in range(0, runs, BLOCK):
         part = np.lib.stride_tricks.sliding_window_view(grams[i : i + BLOCK + width - 1], width)[: runs - i]
         at[i : i + len(part)] = part.argmin(axis=1) + np.arange(i, i + len(part))
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return grams[at[first]], first, np.append(first[1:], runs)
+    return at[first], first, np.append(first[1:], runs)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def repeated_anchors(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> np.ndarray:
-    """A bitmap of the grams that are selected at more than one place of the corpus."""
+    """A bitmap of the beginnings of suffixes that stand at more than one place of the corpus."""
+    sure = length - window_of(length, gram) + 1
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("words")
+        out, held = [np.empty(0, np.uint64)], 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["anchor"])
         for batch in batches:
-            out = [np.empty(0, np.uint64)]
-            for raw in batch.column(1):
+            for raw in batch.column(0):
                 words = word_hashes(raw.as_py() or b"")
                 if len(words) >= length:
-                    out.append(anchors(words, length, gram)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["anchor"])
-
-    keys = _texts(docs).mapInArrow(select, "anchor long")
+                    at, _, _ = selected(words, length, gram)
+                    out.append(passage_hashes(words, sure)[0][at])
+                    held += out[-1].nbytes
+                if held > HELD:
+                    yield done()
+                    out, held = [np.empty(0, np.uint64)], 0
+        yield done()
+
+    keys = _texts(docs).select("text").mapInArrow(select, "anchor long")
     return bitmap(keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
 
 
@@ -96,91 +111,103 @@ def _place(anchor: np.ndarray) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """(anchor, block, doc_id, at, runs, hashes): the suffixes at minimisers that the corpus repeats.
+    """(anchor, block, row, doc_id, at, runs, hashes): the suffixes at minimisers whose beginnings the corpus repeats.
 
-    A suffix goes with the runs whose minimiser it is, from ``at`` on: a hash of each is in ``hashes``, and ``block``
-    is one of them all. A repeated run has its minimiser at the same place in each copy, so it is kept with all its
-    copies; suffixes at minimisers that occur once are dropped in their task.
+    ``anchor`` stands for the words that follow a selected place in every run that selects it. From ``at`` on there
+    are ``runs`` such runs: ``hashes`` has the content of each, ``block`` of them all. A repeated run has its place at
+    the same word in each copy, so it is kept with all its copies; a suffix that begins like no other is dropped in
+    its task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, length, gram))  # 2 ** MAP_BITS bits
+    sure, names = length - window_of(length, gram) + 1, ["anchor", "block", "row", "doc_id", "at", "runs", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            keys, blocks, starts, sizes, hashes, rows = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], []
-            for raw in batch.column(1):
-                words = word_hashes(raw.as_py() or b"")
-                n = 0
-                if len(words) >= length:
-                    key, first, end = anchors(words, length, gram)
-                    kept = np.flatnonzero(bits[_place(key)])
-                    n = len(kept)
-                    if n:
-                        content = passage_hashes(words, length)
-                        first, end = first[kept], end[kept]
-                        keys.append(key[kept])
-                        blocks.append(_mix(_mix(content[first]) + content[end - 1] + (end - first).astype(np.uint64)))
-                        starts.append(first)
-                        sizes.append(end - first)
-                        hashes += [content[i:j].tobytes() for i, j in zip(first.tolist(), end.tolist(), strict=True)]
-                rows.append(n)
-            owners = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), rows)))
-            long = lambda x: pa.array(np.concatenate(x).view(np.int64))
-            yield pa.RecordBatch.from_arrays([long(keys), long(blocks), owners, long(starts), long(sizes), pa.array(hashes, pa.binary())], ["anchor", "block", "doc_id", "at", "runs", "hashes"])
-
-    return _texts(docs).mapInArrow(run, "anchor long, block long, doc_id long, at long, runs long, hashes binary")
-
-
-def _unlike(found: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(anchor, block, offset, hash, n, least): the runs of one copy of each of ``blocks``."""
-    mark = lambda doc, at: F.xxhash64("anchor", "block", doc, at).alias("mark")
-    marked = found.sparkSession.sparkContext.broadcast(bitmap(blocks.select(mark("least.doc_id", "least.at"))))  # 2 ** MAP_BITS bits
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marked.value).view(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[_place(batch.column(0).to_numpy().view(np.uint64))]))
+        common.only("words")
+        bits = shared.value
+        cols: list[list] = [[] for _ in names]
+        held = 0
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("hashes")]
-            sizes = np.array([len(x) for x in flat], np.int64)
-            rows = pa.array(np.repeat(np.arange(len(flat)), sizes))
-            offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            cols = [batch.column(c).take(rows) for c in ("anchor", "block")] + [pa.array(offset), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))]
-            yield pa.RecordBatch.from_arrays(cols + [batch.column(c).take(rows) for c in ("n", "doc_id", "at")], ["anchor", "block", "offset", "hash", "n", "doc_id", "at"])
+        def done() -> pa.RecordBatch:
+            flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in cols[:3] + cols[4:]]
+            arrays = [pa.array(x.view(np.int64)) for x in flat[:3]] + [pa.array(cols[3], pa.int64())] + [pa.array(x.view(np.int64)) for x in flat[3:5]]
+            ends = np.concatenate([[0], np.cumsum(flat[4])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[5].view(np.int64)))], names)
 
-    near = found.select(mark("doc_id", "at"), "anchor", "block", "doc_id", "at", "hashes").mapInArrow(keep, "mark long, anchor long, block long, doc_id long, at long, hashes binary").drop("mark")
-    one = near.join(blocks.select("anchor", "block", "n", "least"), ["anchor", "block"]).where(F.struct("doc_id", "at").eqNullSafe(F.col("least")))
-    one = one.dropDuplicates(["anchor", "block"]).select("anchor", "block", "n", "doc_id", "at", "hashes")
-    runs = one.mapInArrow(spread, "anchor long, block long, offset long, hash long, n long, doc_id long, at long")
-    return runs.select("anchor", "block", "offset", "hash", "n", F.struct("doc_id", (F.col("at") + F.col("offset")).alias("at")).alias("place"))
+        for batch in batches:
+            for row, doc, raw in zip(*batch.columns, strict=True):
+                words = word_hashes(raw.as_py() or b"")
+                if len(words) < length:
+                    continue
+                at, first, end = selected(words, length, gram)
+                begins, content = passage_hashes(words, sure, length)
+                key = begins[at]
+                place = _place(key).astype(np.int64)
+                kept = np.flatnonzero((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+                if not len(kept):
+                    continue
+                key, first, end = key[kept], first[kept], end[kept]
+                runs = end - first
+                inside = np.arange(runs.sum()) + np.repeat(first - np.cumsum(runs) + runs, runs)
+                block = _mix(_mix(content[first]) + content[end - 1] + runs.astype(np.uint64))
+                for col, x in zip(cols, (key, block, np.full(len(kept), row.as_py()), [doc.as_py()] * len(kept), first, runs, content[inside]), strict=True):
+                    col.extend(x) if isinstance(x, list) else col.append(x)
+                held += 48 * len(kept) + 8 * len(inside)
+                if held > HELD:
+                    yield done()
+                    cols, held = [[] for _ in names], 0
+        yield done()
+
+    return _texts(docs).mapInArrow(run, "anchor long, block long, row long, doc_id long, at long, runs long, hashes array<long>")
+
+
+def neighbours(runs: DataFrame) -> DataFrame:
+    """Adds ``before`` and ``after`` to (hash, doc_id, row, place, ...): the contents next to each in the order of them all.
+
+    Runs are sorted over all tasks by content, then place; the key is unique, so that copies of a common run spread
+    over as many tasks as they fill. Each task tells its neighbours its first and last content, two numbers a task.
+    """
+    order = ["hash", "doc_id", "row", "place"]
+    dealt = common.cut(runs.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sorted")
+    by_part = W.orderBy("part")
+    edges = dealt.groupBy("part").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    edges = edges.select("part", F.lag("high").over(by_part).alias("outer_before"), F.lead("low").over(by_part).alias("outer_after"))
+    inside = W.partitionBy("part").orderBy(*order)
+    found = dealt.withColumns({"before": F.lag("hash").over(inside), "after": F.lead("hash").over(inside)})
+    found = found.join(F.broadcast(edges), "part")  # one row a partition
+    return found.withColumns({"before": F.coalesce("before", "outer_before"), "after": F.coalesce("after", "outer_after")}).drop("part", "outer_before", "outer_after")
 
 
 def _matches(found: DataFrame) -> DataFrame:
-    """(anchor, block, least, repeated, earliest): masks of the runs that have a copy, and of the earliest copies.
+    """(anchor, block, n, row, at, repeated, earliest): masks of the runs that have a copy, and of the earliest copies.
 
-    Suffixes that are wholly alike are sorted together first and counted as one. Where all suffixes of an anchor are
-    alike, that decides; else the runs of one suffix of each kind are sorted and compared, so neither step gathers the
-    copies of a common passage.
+    Suffixes that are wholly alike are counted as one, with the earliest place. Where an anchor has one kind of suffix
+    only, that decides; else each run of one suffix of each kind is compared with its neighbours. So no step gathers
+    the copies of a common passage, nor the suffixes that begin with it.
     """
-    blocks = found.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("least"), F.first("runs").alias("runs"))
-    blocks = common.cut(blocks, "blocks")
-    kinds = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
-    blocks = common.cut(blocks.join(kinds.drop("all"), "anchor"), "kinds")
+    blocks = found.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("least"), F.first("runs").alias("runs"))
+    blocks = common.cut(blocks.select("anchor", "block", "n", "least.doc_id", "least.row", "least.at", "runs"), "blocks")
+    common.release(found.sparkSession)
+    several = common.bit_table(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"))
+    blocks = common.maybe_in(blocks, F.col("anchor"), several, "several")
     bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} AS INT))")
-    alike = blocks.where("kinds = 1").withColumn("repeated", bit("runs") - 1)
-    alike = alike.select("anchor", "block", "least", "repeated", F.col("repeated").alias("earliest"))
-    unlike = blocks.where("kinds > 1")
-    runs = common.cut(_unlike(found, unlike), "runs")
-    copies = runs.groupBy("hash").agg(F.sum("n").alias("n"), F.min("place").alias("least")).where("n > 1").select("hash", "least")
-    hit = runs.join(copies, "hash").withColumn("bit", bit("offset"))
-    masks = hit.groupBy("anchor", "block").agg(F.sum("bit").alias("repeated"), F.sum(F.when(F.col("place") == F.col("least"), F.col("bit")).otherwise(F.lit(0))).alias("earliest"))
-    return alike.unionAll(masks.join(unlike, ["anchor", "block"]).select("anchor", "block", "least", "repeated", "earliest"))
+    alike = blocks.where("NOT several AND n > 1").withColumn("repeated", bit("runs") - 1)
+    alike = alike.select("anchor", "block", "n", "row", "at", "repeated", F.col("repeated").alias("earliest"))
+    kinds = common.cut(blocks.where("several").select("anchor", "block", "n", "row", "at"), "kinds")
+    place = F.xxhash64("row", "at")
+    marked = common.bit_table(kinds.select(place))
+    one = common.maybe_in(found.select("row", "doc_id", "at", "hashes"), place, marked, "marked").where("marked").drop("marked")
+    runs = one.join(kinds, ["row", "at"]).select("anchor", "block", "n", "doc_id", "row", "at", F.posexplode("hashes").alias("offset", "hash"))
+    runs = neighbours(runs.withColumn("place", F.col("at") + F.col("offset")))
+    common.release(found.sparkSession)
+    opens = F.coalesce(F.col("before") != F.col("hash"), F.lit(True))
+    copied = (F.col("n") > 1) | ~opens | F.coalesce(F.col("after") == F.col("hash"), F.lit(False))
+    hit = runs.where(copied).withColumns({"bit": bit("offset"), "opens": opens})
+    masks = hit.groupBy("anchor", "block", "n", "row", "at").agg(F.bit_or("bit").alias("repeated"), F.bit_or(F.when(F.col("opens"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("earliest"))
+    return common.cut(alike.unionAll(masks), "masks")
 
 
 def _ranges(matched: DataFrame) -> DataFrame:
-    """(doc_id, first, at, end): the runs of (doc_id, at, repeated, earliest) in a row, by the masks."""
+    """(row, doc_id, first, at, end): the runs of (row, doc_id, at, repeated, earliest) in a row, by the masks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,36 +219,43 @@ def _ranges(matched: DataFrame) -> DataFrame:
                 row, start = np.nonzero(edge == 1)
                 out.append((row, np.full(len(row), first), at[row] + start, at[row] + np.nonzero(edge == -1)[1]))
             row, first, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(first), pa.array(start), pa.array(end)], ["doc_id", "first", "at", "end"])
+            own = [batch.column(c).take(pa.array(row)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(first), pa.array(start), pa.array(end)], ["row", "doc_id", "first", "at", "end"])
 
-    return matched.select("doc_id", "at", "repeated", "earliest").mapInArrow(run, "doc_id long, first boolean, at long, end long")
+    return matched.select("row", "doc_id", "at", "repeated", "earliest").mapInArrow(run, "row long, doc_id long, first boolean, at long, end long")
 
 
+@common.tidy
 def repeats(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """The passages of at least ``length`` words that occur more than once in ``docs`` (doc_id, text).
 
-    Of all suffixes, those at minimisers of word grams are retained, each with the starts up to ``length - gram``
-    words left of it whose minimiser it is. The ``length`` words from each start are hashed and
-    grouped; equal hashes match, and matches that overlap or touch are joined as intervals, which gives whole
-    passages.
+    Of all suffixes, those at minimisers of word grams are retained. A suffix that begins like no other is dropped;
+    the others are put together by content, and where those that begin alike go on or begin differently, every run of
+    ``length`` words around their minimiser is sorted with all others and compared with its neighbours. Matches are
+    then extended: those that overlap or touch, to the left or to the right, are one passage. Words are compared by
+    64-bit hashes of their runs.
 
     Rows: doc_id, start_word, end_word (exclusive), n_words, first. ``first`` passages hold the earliest copy, by
     doc_id and place, of each of their runs; the others are the ones to remove. Words end at ASCII white space and
     A-Z are lower-cased.
 
     Defined results: null, empty and short texts have none; a passage that a document repeats within itself counts;
-    rows that share a doc_id are one document that repeats itself; an empty table gives no rows; other columns are
-    ignored.
+    rows that share a doc_id, or have none, are documents of their own that repeat each other; a null doc_id comes
+    before all others; an empty table gives no rows; other columns are ignored.
     """
     found = common.cut(suffixes(docs, length, gram), "suffixes")
+    common.release(docs.sparkSession)
     masks = _matches(found)
-    mine = F.struct("doc_id", "at").eqNullSafe(F.col("least"))
-    matched = found.select("anchor", "block", "doc_id", "at").join(masks, ["anchor", "block"]).withColumn("earliest", F.when(mine, F.col("earliest")).otherwise(F.lit(0)))
-    by_place = W.partitionBy("doc_id", "first").orderBy("at")
+    common.release(docs.sparkSession)
+    told = masks.select("anchor", "block", "n", F.col("row").alias("least_row"), F.col("at").alias("least_at"), "repeated", "earliest")
+    dealt = common.hot_join(found.select("anchor", "block", "row", "doc_id", "at"), told, ["anchor", "block"], "n", "row", "at")
+    mine = (F.col("row") == F.col("least_row")) & (F.col("at") == F.col("least_at"))
+    matched = dealt.withColumn("earliest", F.when(mine, F.col("earliest")).otherwise(F.lit(0).cast("long")))
+    by_place = W.partitionBy("row", "first").orderBy("at")
     before = F.lag("end").over(by_place) - 1
     numbered = _ranges(matched).withColumn("opens", F.coalesce(F.col("at") > before + length, F.lit(True)).cast("int"))
     numbered = numbered.withColumn("passage", F.sum("opens").over(by_place.rowsBetween(W.unboundedPreceding, 0)))
-    spans = numbered.groupBy("doc_id", "first", "passage").agg(F.min("at").alias("start_word"), (F.max("end") - 1 + length).alias("end_word"))
+    spans = numbered.groupBy("row", "first", "passage").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("start_word"), (F.max("end") - 1 + length).alias("end_word"))
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first")
 
 
