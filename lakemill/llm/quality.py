@@ -16,6 +16,8 @@ from lakemill.llm import common
 #: Labelled documents of each class that the classifier is fitted on at most, chosen by a hash of doc_id.
 FIT_ROWS = 3000
 THRESHOLD = 0.5
+#: Sites that are sent to all tasks at most.
+SITES = 50_000
 #: Ridge of the classifier, in units of standardised features.
 RIDGE = 1e-3
 #: Margins beyond this are as sure as any.
@@ -92,13 +94,16 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     chosen = common.cut(chosen[0].unionAll(chosen[1]), "fit")  # 2 * fit_rows rows of three numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("none")
         for batch in batches:
-            x = [features(raw.as_py() or b"") for raw in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "good", "x"])
+            x = [features(raw.as_py() or b"") for raw in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "good", "draw", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(F.broadcast(chosen.select("doc_id", "good")), "doc_id").select("doc_id", "good", "text")
-    found = rows.mapInArrow(run, "doc_id long, good int, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = rows.join(F.broadcast(chosen.select("doc_id", "good")), "doc_id").select("doc_id", "good", F.xxhash64("text").alias("draw"), "text")
+    # of texts that share a doc_id, the one with the least hash is taken, so that reruns agree
+    found = rows.mapInArrow(run, "doc_id long, good int, draw long, x array<double>").groupBy("doc_id", "good").agg(F.min(F.struct("draw", "x")).alias("least"))
+    found = found.select("doc_id", "good", "least.x").toPandas().sort_values("doc_id")
     rate = min(max(counts.get(1, 0) / max(sum(counts.values()), 1), 0.01), 0.99) if counts else 0.5
     x = np.array(found["x"].tolist(), np.float64).reshape(len(found), len(FEATURES))
     if not len(found):
@@ -136,6 +141,7 @@ def _evidence(docs: DataFrame, classifier: Classifier, *keep: Column) -> DataFra
     kept = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("none")
         for batch in batches:
             x = np.array([features(raw.as_py() or b"") for raw in batch.column(batch.num_columns - 1)], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(c.evidence(x), pa.float64())], [*batch.schema.names[:-1], "evidence"])
@@ -143,57 +149,78 @@ def _evidence(docs: DataFrame, classifier: Classifier, *keep: Column) -> DataFra
     return kept.mapInArrow(run, kept.drop("__text").withColumn("evidence", F.lit(0.0)).schema)
 
 
-def sites(scored: DataFrame, prior: float) -> DataFrame:
-    """(host, path, host_posterior, path_posterior) from (host, path, evidence) of all documents.
+KEY = ("host", "no_host", "path", "no_path")
 
-    A document's good share is its classifier probability under the prior of the level above. Hosts are shrunk to
-    the global rate and paths to their host's posterior, each by the strength that the variance between them tells.
-    Sums over a path are aggregated before the shuffle and a host's are sums of its paths', so no host or path is
-    gathered anywhere.
+
+def _site(host: Column, path: Column) -> list[Column]:
+    """Host and path without nulls, each with a flag that tells a null from an empty name."""
+    named = lambda c, name: [F.coalesce(c.cast("string"), F.lit("")).alias(name), c.isNull().alias(f"no_{name}")]
+    return [*named(host, "host"), *named(path, "path")]
+
+
+def sites(scored: DataFrame, prior: float) -> tuple[DataFrame, float, float, float]:
+    """(host, no_host, path, no_path, n, good, host_n, host_good) from those and ``evidence`` of all documents.
+
+    ``good`` sums up each document's classifier probability. With it come the global rate and how many documents it
+    weighs for a host, and a host's posterior for a path, as the variance between them tells. Sums over a path are
+    aggregated before the shuffle and a host's are sums of its paths', so no host or path is gathered anywhere.
     """
-    base = float(np.log(prior / (1 - prior)))
-    paths = scored.withColumn("p", _logistic(F.col("evidence") + base)).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good"))
-    paths = common.cut(paths, "paths")
+    p = _logistic(F.col("evidence") + float(np.log(prior / (1 - prior))))
+    paths = common.cut(scored.withColumn("p", p).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")), "paths")
     total = paths.agg(F.sum("n"), F.sum("good")).first()
     rate = min(max((total[1] + prior) / (total[0] + 1), 0.001), 0.999) if total[0] else prior
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(rate))
-    weight = strength(hosts)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + weight * rate) / (F.col("n") + weight)).alias("host_posterior"))
-    paths = common.cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("prior", F.col("host_posterior")), "sites")
-    weight = strength(paths)
-    posterior = (F.col("good") + weight * F.col("prior")) / (F.col("n") + weight)
+    hosts = common.cut(paths.groupBy(*KEY[:2]).agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.count(F.lit(1)).alias("paths")), "hosts")
+    of_host = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_good").alias("good"), F.lit(rate).alias("prior")))
+    found = common.cut(common.hot_join(paths, hosts, list(KEY[:2]), "paths", "path").drop("paths"), "sites")
+    of_path = strength(found.select("n", "good", ((F.col("host_good") + of_host * rate) / (F.col("host_n") + of_host)).alias("prior")))
+    return found, rate, of_host, of_path
+
+
+def _posteriors(rate: float, base: float, of_host: float, of_path: float) -> tuple[Column, Column]:
+    """Posteriors of a document's host and path by their other documents, as its own evidence comes on top of them.
+
+    A sparse host is shrunk to the global rate and a sparse path to its host's posterior.
+    """
+    own = _logistic(F.col("evidence") + base)
     bound = lambda c: F.least(F.greatest(c, F.lit(0.001)), F.lit(0.999))
-    return paths.select("host", "path", bound(F.col("host_posterior")).alias("host_posterior"), bound(posterior).alias("path_posterior"))
+    host = bound((F.col("host_good") - own + of_host * rate) / (F.col("host_n") - 1 + of_host))
+    return host, bound((F.col("good") - own + of_path * host) / (F.col("n") - 1 + of_path))
 
 
+@common.tidy
 def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """For each document of ``docs``: doc, evidence, host and path posteriors, quality and keep.
 
     ``doc`` is the row itself. ``quality`` is the probability of a good document by the classifier's evidence with
-    the path's posterior as its prior; ``keep`` tells if it reaches ``threshold``. A path is named within its host.
+    the path's posterior, by its other documents, as its prior; ``keep`` tells if it reaches ``threshold``. A path is
+    named within its host. Up to SITES sites go to all tasks; more are joined, a hot one in many tasks.
 
     Defined results: a null or empty text has the features of no text; null hosts are one host and null paths one
-    path of their host; repeated rows each count; without labels of both classes the evidence is 0 and every
-    document has its site's prior; an empty table gives no rows; other columns stay in ``doc`` as they are.
+    path of their host, other than empty names; repeated rows each count; without labels of both classes the evidence
+    is 0 and every document has its site's prior; an empty table gives no rows; other columns stay in ``doc`` as they
+    are.
     """
     classifier, prior = learn(docs, labels, fit_rows)
-    site = [F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")]
-    known = sites(common.cut(_evidence(docs, classifier, *site), "evidence"), prior)
-    known = common.cut(known.select(F.struct("host", "path").alias("site"), "host_posterior", "path_posterior"), "posteriors")
+    site = _site(F.col(f"`{host}`"), F.col(f"`{path}`"))
+    known, rate, of_host, of_path = sites(common.cut(_evidence(docs, classifier, *site), "evidence"), prior)
     scored = _evidence(docs, classifier, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *site)
-    scored = scored.withColumn("key", F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), c), F.lit("0")) for c in ("host", "path"))))
-    known = known.select(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), f"site.{c}"), F.lit("0")) for c in ("host", "path"))).alias("key"), "host_posterior", "path_posterior")
+    if known.count() <= SITES:
+        scored = scored.join(F.broadcast(known), list(KEY))
+    else:
+        scored = common.hot_join(scored.withColumn("__row", F.monotonically_increasing_id()), known, list(KEY), "n", "__row")
+    host_posterior, path_posterior = _posteriors(rate, float(np.log(prior / (1 - prior))), of_host, of_path)
+    scored = scored.withColumn("host_posterior", host_posterior).withColumn("path_posterior", path_posterior)
     quality = _logistic(F.col("evidence") + _logit(F.col("path_posterior")))
-    found = scored.join(known, "key").withColumn("quality", quality)
-    return found.select("doc", "evidence", "host_posterior", "path_posterior", "quality", (F.col("quality") >= threshold).alias("keep"))
+    found = scored.withColumn("quality", quality).withColumn("keep", F.col("quality") >= threshold)
+    return found.select("doc", "evidence", "host_posterior", "path_posterior", "quality", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how: object) -> DataFrame:
-    """The documents that ``assess`` keeps, with their own columns."""
+    """The documents that ``assess`` keeps, with their own columns; its defined results hold here too."""
     return assess(docs, labels, **how).where("keep").select("doc.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are kept, with what the decision rests on."""
+    """All documents, with what the decision to keep each rests on."""
     found = assess(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return found.where("keep").select(F.col("doc.doc_id").cast("long").alias("doc_id"), "evidence", "host_posterior", "path_posterior", "quality", "keep")
+    return found.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "evidence", "host_posterior", "path_posterior", "quality", "keep")
