@@ -17,7 +17,7 @@ from lakemill.llm import common
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces that one packing task holds, about; the number of tasks follows the number of documents.
+#: Pieces that one packing task holds, about; each document has one at most that does not fill a window.
 BUCKET_ROWS = 50_000
 #: Words kept in a worker's token cache; it holds two generations of half as many.
 CACHE_WORDS = 700_000
@@ -25,6 +25,9 @@ CACHE_WORDS = 700_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ASCII_END = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _COMBINING = re.compile("[\u0300-\u036f]")
+#: Python's white space that the tokenizer's is not, and words between the tokenizer's.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_WORD = re.compile("(?:[\x1c-\x1f]|\\S)+")
 
 
 class WordTokens(dict):
@@ -57,10 +60,11 @@ class WordTokens(dict):
     def encode(self, text: str) -> bytes:
         if "<|" not in text and not _COMBINING.search(text):  # then lower-casing A-Z changes no id
             text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, _WORD.findall(text) if _SEPARATORS.search(text) else text.split()))
 
 
 _WORDS: dict[str, WordTokens] = {}
+common.CACHES["tokens"] = _WORDS.clear
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -124,6 +128,7 @@ def tokenise(docs: DataFrame, vocabulary: str, window: int = WINDOW, id_col: str
     """Pieces of at most ``window`` ids: every full window of a document, then what is left."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("tokens")
         words, end, row = word_tokens(vocabulary), np.array([END_ID], "<u4").tobytes(), 0
         for batch in batches:
             out: list[tuple] = []
@@ -140,19 +145,27 @@ def tokenise(docs: DataFrame, vocabulary: str, window: int = WINDOW, id_col: str
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
+@common.tidy
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Packs every document of ``docs`` (doc_id, text) into windows of at most ``window`` ids.
 
-    A document's ids are those of its text, then one end id. Overlong documents are first cut into full windows;
-    what is left is packed by best-fit decreasing. Only (document, start, length, checksum) is shuffled, never a
-    token. Pieces are dealt by a hash into buckets of about ``bucket_rows``, so a document or source with a third
-    of all rows spreads over all of them, and each bucket is packed in one task.
+    A document's ids are those of its text, then one end id. Overlong documents are first cut into full windows,
+    which need no place and are sequences as they are, so a document of any length adds one piece to a task at most.
+    What is left is packed by best-fit decreasing. Only (document, start, length, checksum) is written and shuffled,
+    never a token. Pieces are dealt by a hash into buckets of about ``bucket_rows``, so a document or source with a
+    third of all rows spreads over all of them, and each bucket is packed in one task.
 
     Defined results: a null or empty text is the end id alone; repeated rows are packed once each; an empty table
     gives no rows; a null doc_id stays null; other columns are ignored.
     """
-    buckets = max(1, math.ceil(docs.count() / bucket_rows))
-    pieces = tokenise(docs, vocabulary, window).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(buckets)).cast("long")).drop("row")
+    pieces = common.cut(tokenise(docs, vocabulary, window), "pieces")
+    full = pieces.where(F.col("length") == window).drop("row")
+    # numbers from 2 ** 62 on are of full windows, those below of buckets
+    number = F.lit(1 << 62).cast("long") + F.monotonically_increasing_id()
+    full = full.withColumns({"sequence_id": number, "offset": F.lit(0).cast("long"), "sequence_padded": F.lit(window).cast("long")})
+    rest = pieces.where(F.col("length") < window)
+    buckets = max(1, math.ceil(rest.count() / bucket_rows))
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(buckets)).cast("long")).drop("row")
 
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -162,7 +175,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, bucket_rows: in
         return frame.assign(sequence_id=w + (int(key[0]) << 40), offset=offset, sequence_padded=padded[w]).drop(columns="bucket")
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_padded long"
-    return pieces.groupBy("bucket").applyInPandas(place, schema)
+    return full.unionByName(rest.groupBy("bucket").applyInPandas(place, schema))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
