@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,9 @@ from lakemill.llm import common
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 #: Rows of one source and size class that one window task orders, about.
-CELL_ROWS = 1_000_000
+CELL_ROWS = 500
+#: Cells whose counts are summed up together before sums of sums are.
+BRANCH = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,34 +50,46 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: in
     return ranked.select("source", "source_size", F.when(F.col("cap") <= share, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def copies(sized: DataFrame, n_rows: int, seed: int = 0, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _ahead(counts: DataFrame, within: list[str], order: str) -> DataFrame:
+    """``counts`` with ``ahead``: the sum of ``n`` over the rows before within the same columns."""
+    before = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def copies(sized: DataFrame, seed: int = 0, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Adds source_size, target and copies to ``sized`` (doc_id, source, size and any columns of the caller's).
 
     A document's expected copies are its source's target over its source's size. They are prefix-summed within the
     source in the order of size class and a hash of doc_id, one offset drawn for the source is added, and a document
     is emitted once for each integer that its step crosses: a systematic sample, stratified by size.
 
-    The prefix sum is split: a source is cut into cells by size class and, as the input grows, by hash; rows are
-    numbered within cells, and the cells' counts are summed up before them. So no task holds a whole source.
+    The prefix sum is split: a source is cut into size classes, of which there are some thousands at most, and each
+    class by the hash into cells of about ``cell_rows``; rows are numbered within cells, and counts of cells, of
+    BRANCH cells and of classes are summed up before them. So no task holds a source or a class, however large.
     """
-    salts = max(1, math.ceil(n_rows / cell_rows))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    salt = F.floor(F.conv(F.substring("order_key", 1, 6), 16, 10).cast("long") * salts / (1 << 24)).cast("int")
-    sized = sized.withColumns({"size_class": size_class(F.col("size")), "order_key": key}).withColumn("salt", salt)
-    sized = sized.withColumns({"name": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull()})
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies)
+    class_key, cell = ["name", "unnamed", "size_class"], ["name", "unnamed", "size_class", "salt"]
+    sized = sized.withColumns({"name": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull(), "size_class": size_class(F.col("size"))})
+    classes = common.cut(sized.groupBy(*class_key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "classes")
+    sources = classes.groupBy("name", "unnamed").agg(F.sum("words").alias("source_size"))
+    sources = targets(sources.withColumn("source", F.when(~F.col("unnamed"), F.col("name"))), weights, max_copies)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
     sources = sources.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), "source_size", "target", offset.alias("offset"))
-    cell = ["name", "unnamed", "size_class", "salt"]
-    before = W.partitionBy("name", "unnamed").orderBy("size_class", "salt").rowsBetween(W.unboundedPreceding, -1)
-    cells = sized.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    numbered = sized.withColumn("at", F.row_number().over(W.partitionBy(*cell).orderBy("order_key", "size", "doc_id")))
-    placed = numbered.join(cells, cell).join(sources, ["name", "unnamed"])
+    told = _ahead(classes, ["name", "unnamed"], "size_class").join(sources, ["name", "unnamed"])
+    told = common.cut(told.select(*class_key, F.col("n").alias("class_rows"), F.col("ahead").alias("class_ahead"), "source_size", "target", "offset"), "told")
+    placed = common.hot_join(sized, told, class_key, "class_rows", "doc_id", "size")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    salt = F.floor(F.conv(F.substring("order_key", 1, 10), 16, 10).cast("double") / (1 << 40) * F.ceil(F.col("class_rows") / cell_rows))
+    placed = placed.withColumn("order_key", key).withColumn("salt", salt)
+    cells = common.cut(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).withColumn("branch", F.floor(F.col("salt") / BRANCH)), "cells")
+    branches = _ahead(cells.groupBy(*class_key, "branch").agg(F.sum("n").alias("n")), class_key, "branch").select(*class_key, "branch", F.col("ahead").alias("branch_ahead"))
+    cells = _ahead(cells, [*class_key, "branch"], "salt").join(branches, [*class_key, "branch"]).select(*cell, (F.col("ahead") + F.col("branch_ahead")).alias("ahead"))
+    numbered = placed.withColumn("at", F.row_number().over(W.partitionBy(*cell).orderBy("order_key", "size", "doc_id")))
+    placed = numbered.join(cells, cell)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    at = (F.col("ahead") + F.col("at")).cast("double")
+    at = (F.col("class_ahead") + F.col("ahead") + F.col("at")).cast("double")
     crossed = F.floor(at * rate + F.col("offset")) - F.floor((at - 1) * rate + F.col("offset"))
     placed = placed.withColumn("copies", F.least(crossed, F.lit(max_copies)).cast("long"))
-    return placed.drop(*cell, "order_key", "at", "ahead", "offset")
+    return placed.drop(*cell, "order_key", "at", "ahead", "offset", "class_rows", "class_ahead")
 
 
 def sized(docs: DataFrame, *keep: str) -> DataFrame:
@@ -84,6 +97,7 @@ def sized(docs: DataFrame, *keep: str) -> DataFrame:
     return common.cut(docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sized")
 
 
+@common.tidy
 def sample_counts(docs: DataFrame, seed: int = 0, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """For each document: size, its source's size and target, and how often the mix takes it.
 
@@ -92,14 +106,19 @@ def sample_counts(docs: DataFrame, seed: int = 0, weights: Sequence[int] = WEIGH
     in these are interchangeable; an empty table gives no rows; other columns are ignored.
     """
     rows = sized(docs)
-    return copies(rows, rows.count(), seed, weights, max_copies, cell_rows)
+    return copies(rows, seed, weights, max_copies, cell_rows)
 
 
+@common.tidy
 def mix(docs: DataFrame, seed: int = 0, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as the sample takes it."""
+    """The mixed corpus: the rows of ``docs``, each as often as the sample takes it.
+
+    Defined results are those of ``sample_counts``: null and empty texts are not taken unless their class's turn
+    comes, repeated rows each count, an empty table gives no rows, and all columns stay, whatever their names.
+    """
     rows = common.cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix")
     counted = sized(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), "row")
-    taken = copies(counted, counted.count(), seed, weights, max_copies).where("copies > 0").select("row", "copies")
+    taken = copies(counted, seed, weights, max_copies).where("copies > 0").select("row", "copies")
     return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
