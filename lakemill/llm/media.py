@@ -22,6 +22,8 @@ HOP = 128
 #: Each frame gives the strongest bin of each band, and each peak is paired with those of the next frames.
 BANDS = ((1, 12), (12, 36), (36, 84), (84, 129))
 FAN = 3
+#: Bytes of results that a task holds before it hands them on, about.
+HELD = 16_000_000
 #: Frames transformed at once, which bounds memory whatever a file's length.
 BLOCK = 4096
 
@@ -94,6 +96,8 @@ SCHEMA = (
     "media_sha256 string, media binary, fingerprint_times array<int>, fingerprint_codes array<int>, feature string"
 )
 
+STORED = ("media", "fingerprint_times", "fingerprint_codes")
+
 
 def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """Stores each text of ``docs`` (doc_id, text) as a WAV file, reads it back and fingerprints what was read.
@@ -106,6 +110,7 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("none")
         for batch in batches:
             out: list[tuple] = []
             held = 0
@@ -117,8 +122,8 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
                 sums = zlib.crc32(np.stack([at, codes]).astype("<i4").tobytes())
                 arrays = (media, at.astype(np.int32), codes.astype(np.int32)) if keep_media else (None, None, None)
                 out.append((doc, len(text.encode("utf-8", "surrogatepass")), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), *arrays, f"{-(-len(samples) // HOP)}:{len(codes)}:{sums:08x}"))
-                held += len(media) * keep_media
-                if held > 16_000_000:
+                held += 200 + (len(media) + 8 * len(codes)) * keep_media
+                if held > HELD:
                     yield rows(out)
                     out, held = [], 0
             yield rows(out)
@@ -133,5 +138,6 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media_columns(common.table(spark, sf_dir, "documents"), keep_media=False)
-    return found.drop("media", "fingerprint_times", "fingerprint_codes")
+    """The digest columns, then what they are of: the stored file and its time-coded fingerprint."""
+    found = media_columns(common.table(spark, sf_dir, "documents"))
+    return found.select(*(c for c in found.columns if c not in STORED), *STORED)
