@@ -22,13 +22,20 @@ BLOCK_CELLS = 4_000_000
 BINS = 256
 #: Rows scored at once in a task.
 ROW_BLOCK = 2048
+#: Scores up to this are told apart by histograms; those beyond are exact too, and ranked by all their digits.
+FAR = 1 << 61
 #: A kth score is located well enough once so many rows reach the lower edge of its bin.
 SLACK = 64
 
 
 def quantise(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component, as double."""
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    """floor(scale * x) of each component, as double; from 2 ** 53 on a double has no fraction, and a long might not hold it."""
+
+    def one(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, one)
 
 
 def usable(vector: Column) -> Column:
@@ -37,22 +44,43 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda x: F.coalesce(finite(x.cast("double")), F.lit(False))), F.lit(False))
 
 
-def _scores(ids: pa.Array, vectors: pa.Array, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and integer scores (queries x rows) of the rows as long as the queries, block by block."""
+def _exact(a: np.ndarray, b: np.ndarray) -> int:
+    return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def _products(matrix: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Integer inner products (queries x rows), those beyond FAR cut to it.
+
+    Rows and queries whose products could pass what a number of 64 bits holds are multiplied with Python's integers.
+    """
+    width = max(matrix.shape[1], 1)
+    small = np.sqrt(2.0**61 / width)
+    query_most, row_most = np.abs(matrix).max(axis=1, initial=0.0), np.abs(block).max(axis=1, initial=0.0)
+    if query_most.max(initial=0.0) * row_most.max(initial=0.0) * width < 2**53:  # every partial sum is an integer that a double holds
+        return (matrix @ block.T).astype(np.int64)
+    q, r = query_most < small, row_most < small
+    out = np.zeros((len(matrix), len(block)), np.int64)
+    out[np.ix_(q, r)] = matrix[q].astype(np.int64) @ block[r].astype(np.int64).T
+    for i, j in np.argwhere(~(q[:, None] & r[None, :])).tolist():
+        out[i, j] = max(-FAR, min(FAR, _exact(matrix[i], block[j])))
+    return out
+
+
+def _scores(ids: pa.Array, vectors: pa.Array, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and integer scores (queries x rows) of the rows as long as the queries, block by block."""
     width, lengths = matrix.shape[1], vectors.value_lengths().to_numpy(zero_copy_only=False)
     keep = np.flatnonzero(lengths == width)
     ids = ids.to_numpy(zero_copy_only=False)
-    most = float(np.abs(matrix).max(initial=0.0))
     for at in range(0, len(keep), ROW_BLOCK):
         part = keep[at : at + ROW_BLOCK]
         block = vectors.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(len(part), width)
-        bound = most * float(np.abs(block).max(initial=0.0)) * max(width, 1)
-        if bound < 2**53:  # every partial sum is an integer that a double holds
-            yield ids[part], (matrix @ block.T).astype(np.int64)
-        elif bound < 2**63:
-            yield ids[part], matrix.astype(np.int64) @ block.T.astype(np.int64)
-        else:
-            raise OverflowError("scores beyond 64 bits")
+        yield ids[part], block, _products(matrix, block)
+
+
+def _digits(score: int) -> str:
+    """Text that sorts as the numbers do."""
+    size = f"{len(str(abs(score))):05d}{abs(score)}"
+    return f"1{size}" if score >= 0 else "0" + size.translate(str.maketrans("0123456789", "9876543210"))
 
 
 def _histograms(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, low: np.ndarray, step: np.ndarray) -> dict[int, np.ndarray]:
@@ -65,7 +93,7 @@ def _histograms(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, low: np.n
         total = np.zeros((len(qids), BINS), np.int64)
         lane = np.arange(len(qids))[:, None] * BINS
         for batch in batches:
-            for ids, scores in _scores(batch.column(0), batch.column(1), matrix):
+            for ids, _, scores in _scores(batch.column(0), batch.column(1), matrix):
                 place = (scores - low[:, None]) // step[:, None]
                 good = (place >= 0) & (place < BINS) & (ids[None, :] != qids[:, None])
                 total += np.bincount((place + lane)[good], minlength=total.size).reshape(total.shape)
@@ -105,6 +133,7 @@ def _edges(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, reach: np.ndar
     return edge
 
 
+@common.tidy
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k highest integer inner products of each query row with all other rows of ``vectors`` (vec_id, embedding).
 
@@ -117,10 +146,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE,
     Defined results: vectors that are null or hold null or non-finite components take no part; vectors of other
     lengths than the query's are not compared; rows with the query's vec_id or a null vec_id are not candidates;
     repeated query rows with one vec_id ask once, by the smallest vector; repeated candidates each count; fewer than
-    k candidates give fewer rows; an empty table gives none; other columns are ignored; scores beyond 64 bits raise.
+    k candidates give fewer rows; an empty table gives none; other columns are ignored; components whose scaled value
+    is no finite double count as non-finite; scores are ranked exactly whatever their size, and those that 64 bits do
+    not hold are returned as the nearest number that they do.
     """
     spark = vectors.sparkSession
     ready = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantise(F.col("embedding"), scale).alias("v"))
+    ready = ready.where(usable(F.col("v")))
     rows = common.cut(ready, "vectors")
     asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = asked.select(F.size("v").alias("width")).groupBy("width").count().collect()
@@ -136,7 +168,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE,
                 continue
             got = got.sort_values("vec_id")
             qids, matrix = got["vec_id"].to_numpy(np.int64), np.array(got["v"].tolist(), np.float64).reshape(len(got), width)
-            reach = np.minimum(np.abs(matrix).max(axis=1, initial=0.0) * far, 2.0**62).astype(np.int64)
+            reach = np.minimum(np.nan_to_num(np.abs(matrix).max(axis=1, initial=0.0) * far), float(FAR)).astype(np.int64)
             part = common.cut(_best(same, qids, matrix, _edges(same, qids, matrix, reach, k), k), "topk")
             out = part if out is None else out.unionAll(part)
     if out is None:
@@ -145,17 +177,25 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE,
 
 
 def _best(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, edge: np.ndarray, k: int) -> DataFrame:
+    """The k best of each query. Only scores beyond FAR, which are as one there, have ``digits``."""
+    names = ["q", "vec_id", "score", "digits"]
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pd.DataFrame({"q": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
+        held = pd.DataFrame({"q": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64), "digits": np.empty(0, object)})
         for batch in batches:
-            for ids, scores in _scores(batch.column(0), batch.column(1), matrix):
+            for ids, block, scores in _scores(batch.column(0), batch.column(1), matrix):
                 q, r = np.nonzero((scores >= edge[:, None]) & (ids[None, :] != qids[:, None]))
-                held = pd.concat([held, pd.DataFrame({"q": q, "vec_id": ids[r], "score": scores[q, r]})])
-                held = held.sort_values(["q", "score", "vec_id"], ascending=[True, False, True]).groupby("q").head(k)
-        yield pa.RecordBatch.from_arrays([pa.array(qids[held["q"]]), pa.array(held["vec_id"].to_numpy()), pa.array(held["score"].to_numpy())], ["query_id", "vec_id", "score"])
-
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    found = rows.mapInArrow(keep, "query_id long, vec_id long, score long")
+                found, digits = scores[q, r], np.full(len(q), "", object)
+                for i in np.flatnonzero(np.abs(found) >= FAR).tolist():
+                    exact = _exact(matrix[q[i]], block[r[i]])
+                    found[i], digits[i] = max(-(1 << 63), min((1 << 63) - 1, exact)), _digits(exact)
+                held = pd.concat([held, pd.DataFrame({"q": q, "vec_id": ids[r], "score": found, "digits": digits})])
+                held = held.sort_values(names[:1] + ["score", "digits", "vec_id"], ascending=[True, False, False, True]).groupby("q").head(k)
+        columns = [pa.array(qids[held["q"]]), pa.array(held["vec_id"].to_numpy()), pa.array(held["score"].to_numpy()), pa.array(held["digits"], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "digits"])
+
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("digits").desc(), "vec_id")
+    found = rows.mapInArrow(keep, "query_id long, vec_id long, score long, digits string")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
