@@ -19,8 +19,11 @@ from lakemill.llm import common
 BITS = 20
 #: Labelled documents of each class that the model is fitted on at most, chosen by a hash of doc_id.
 FIT_ROWS = 3000
-#: Terms that enter the machine at most: those whose document frequencies in the two classes differ most clearly.
+#: Terms that enter the machine for themselves at most: those whose document frequencies in the two classes differ most.
 TERMS = 1024
+#: Terms that enter it for a pair that tells more than either of its terms, at most, and of how many the pairs are counted.
+PAIR_TERMS = 64
+PAIRED = 3072
 RANK = 4
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
@@ -42,6 +45,7 @@ class Terms(dict):
 
 
 _TERMS = Terms()
+common.CACHES["terms"] = _TERMS.clear
 
 
 def hashed(text: str | None) -> set[int]:
@@ -63,34 +67,56 @@ class Machine:
         return self.bias + x @ self.weight + 0.5 * (crossed**2 - x @ (self.factor**2)).sum(axis=1)
 
 
+def apart(toxic: np.ndarray, clean: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sample z scores, without sign, of counts among ``n`` (clean, toxic) documents."""
+    both = (toxic + clean) / n.sum()
+    return np.abs(toxic / n[1] - clean / n[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+
+
 def clear_terms(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
-    """The terms with the highest two-sample z score of document frequency, at least 3.
+    """The terms with the highest z score of document frequency, at least 3.
 
     ``flat`` holds the distinct terms of one document after the other, ``lengths`` how many each has.
     """
     of = np.repeat(y, lengths)
     counts = [np.bincount(flat[of == k], minlength=1 << BITS).astype(np.float64) for k in (0, 1)]
-    n = np.maximum(np.bincount(y, minlength=2), 1)
-    p, q = counts[1] / n[1], counts[0] / n[0]
-    both = (counts[0] + counts[1]) / n.sum()
-    z = np.abs(p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+    z = apart(counts[1], counts[0], np.maximum(np.bincount(y, minlength=2), 1))
     seen = np.flatnonzero((counts[0] + counts[1] >= 5) & (z >= 3))
     return np.sort(seen[np.lexsort((seen, -z[seen]))][:terms])
 
 
-def indicator(flat: np.ndarray, lengths: np.ndarray, kept: np.ndarray) -> np.ndarray:
+def pair_terms(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, terms: int = PAIR_TERMS, paired: int = PAIRED) -> np.ndarray:
+    """The terms of the pairs that tell the classes apart more clearly than either term alone.
+
+    Of the ``paired`` most frequent terms, all pairs' documents are counted by one matrix product for each class. A
+    pair in ten documents at least counts if its z score is at least 6, and 3 above those of both its terms.
+    """
+    n = np.bincount(flat, minlength=1 << BITS)
+    among = np.flatnonzero((n >= 10) & (n <= 0.9 * max(len(y), 1)))
+    among = np.sort(among[np.lexsort((among, -n[among]))][:paired])
+    x = indicator(flat, lengths, among, np.float32)
+    counts = [x[y == k].T @ x[y == k] for k in (0, 1)]
+    z = apart(counts[1], counts[0], np.maximum(np.bincount(y, minlength=2), 1).astype(np.float32))
+    alone = np.diag(z).copy()
+    z[(counts[0] + counts[1] < 10) | (z < 6) | (z < 3 + np.maximum(alone[:, None], alone[None, :]))] = 0
+    best = z.max(axis=1, initial=0)
+    order = np.lexsort((among, -best))
+    return among[order[best[order] > 0][:terms]]
+
+
+def indicator(flat: np.ndarray, lengths: np.ndarray, kept: np.ndarray, kind: type = np.float64) -> np.ndarray:
     """Documents x kept terms, 1 where the document has the term."""
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     column, row = place[flat], np.repeat(np.arange(len(lengths)), lengths)
-    x = np.zeros((len(lengths), len(kept)))
+    x = np.zeros((len(lengths), len(kept)), kind)
     x[row[column >= 0], column[column >= 0]] = 1
     return x
 
 
 def fit(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, prior: float, terms: int = TERMS, rank: int = RANK, steps: int = 400, seed: int = 0) -> Machine:
     """Logistic loss with small ridge, full batches, Adam; rows are weighed so that the classes have their ``prior``."""
-    kept = clear_terms(flat, lengths, y, terms)
+    kept = np.union1d(clear_terms(flat, lengths, y, terms), pair_terms(flat, lengths, y))
     x = indicator(flat, lengths, kept)
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     share = np.maximum(np.bincount(y, minlength=2) / max(len(y), 1), 1e-9)
@@ -120,7 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **how: i
     """Fits the machine on at most ``fit_rows`` labelled documents of each class, never on held-out ones.
 
     Rows are chosen by a hash of doc_id. A document with contradicting labels counts as toxic; a label without a
-    document, or a null label, counts for nothing. Only the chosen rows' hashed terms come to the driver.
+    document, or a null label, counts for nothing. Only the chosen rows' distinct hashed terms come to the driver, at
+    most 2 ** BITS of each of 2 * fit_rows documents.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     by_doc = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -130,13 +157,16 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **how: i
     chosen = common.cut(chosen[0].unionAll(chosen[1]), "fit")  # 2 * fit_rows rows of three numbers at most
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("terms")
         for batch in batches:
-            sets = [sorted(hashed(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
+            sets = [sorted(hashed(x.as_py())) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "toxic", "draw", "terms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
-    found = rows.select("doc_id", "text", "toxic").mapInArrow(terms, "doc_id long, toxic int, terms array<int>")
-    found = found.dropDuplicates(["doc_id"]).toArrow().combine_chunks().sort_by("doc_id")
+    found = rows.select("doc_id", "toxic", F.xxhash64("text").alias("draw"), "text").mapInArrow(terms, "doc_id long, toxic int, draw long, terms array<int>")
+    # of texts that share a doc_id, the one with the least hash is taken, so that reruns agree
+    found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct("draw", "terms")).alias("least")).select("doc_id", "toxic", "least.terms")
+    found = found.toArrow().combine_chunks().sort_by("doc_id")
     lists, n = found["terms"].combine_chunks(), sum(counts.values())
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     return fit(lists.flatten().to_numpy(zero_copy_only=False), lengths, found["toxic"].to_numpy().astype(np.int64), counts.get(1, 0) / n if n else 0.5, **how)
@@ -149,9 +179,10 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     whatever its length; repeated rows give equal rows; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((machine.terms, machine.bias, machine.weight, machine.factor))  # at most TERMS of each
+    shared = spark.sparkContext.broadcast((machine.terms, machine.bias, machine.weight, machine.factor))  # at most TERMS + PAIR_TERMS of each
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.only("terms")
         model = Machine(*shared.value)
         kept = model.terms
         wanted = set(kept.tolist())
