@@ -20,17 +20,23 @@ from lakemill.llm import common
 #: Sizes of sets go in bands, each at most this share of the next; it must be below the threshold.
 BAND = 0.75
 #: Signatures that a task merges at once.
-MERGED = 2_000_000
+MERGED = 1_000_000
 #: Bits of the candidates' bitmap, 2 to this power.
 MAP_BITS = 23
-#: Shingles that one search task indexes at most, about; larger candidate groups are searched chunk against chunk.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles that one search task indexes at most, about; larger candidate groups are cut into chunks.
+BLOCK_SHINGLES = 1_000_000
 #: Times that groups too large for one task are cut by other signatures before their chunks are paired.
 ROUNDS = 3
+#: Share of such groups that a round must leave over, at most, for another one to follow.
+WORTH = 0.7
+#: Sets of such a group that are searched with each of its chunks, so that most of a true cluster is found at once.
+LEADERS = 8
 #: Small candidate groups are put together into tasks of about this share of a block.
-TASK_SHARE = 8
+TASK_SHARE = 4
+#: Bytes of results that a task holds before it hands them on, about.
+HELD = 16_000_000
 #: Words whose hashes a worker remembers.
-CACHE = 600_000
+CACHE = 100_000
 
 
 class WordHashes(dict):
@@ -40,6 +46,10 @@ class WordHashes(dict):
         super().__init__()
         self.older: dict[bytes, int] = {}
 
+    def empty(self) -> None:
+        self.clear()
+        self.older.clear()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE // 2:
             self.older = dict(self)
@@ -51,6 +61,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+common.CACHES["words"] = _HASHES.empty
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,9 +145,11 @@ def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (lists[i][at], i, at))
 
 
-def search(sets: list[np.ndarray], percent: int) -> list[int]:
+def search(sets: list[np.ndarray], percent: int, known: list | None = None) -> list[int]:
     """For each set the smallest index that links reach, where sets link at a Jaccard similarity of percent/100.
 
+    Sets with equal entries in ``known`` are connected beforehand.
+
     A query's shingles are inverted lists of the sets that share them. A partner of a set of n shingles shares at
     least T = ceil(n * percent / 100), so of its lists the longest L < T can be left out: partners are in T - L of
     the short lists, which are merged on a heap; the long ones are then probed by binary search until the pair's
@@ -145,6 +158,9 @@ def search(sets: list[np.ndarray], percent: int) -> list[int]:
     """
     n = [len(s) for s in sets]
     links = Links(len(sets))
+    seen: dict = {}
+    for i, label in enumerate(known or ()):
+        links.join(seen.setdefault(label, i), i)
     tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), n)
     order = np.argsort(inverse, kind="stable")
@@ -247,71 +263,78 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def shingle_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, doc_id, n, node, short, signatures): the set's size and 128-bit digest, and half of that as a number.
+def set_table(docs: DataFrame, k: int) -> DataFrame:
+    """(key, doc_id, n, node, short): the size and 128-bit digest of each row's set, and half of that as a number.
 
-    A task writes the signatures of equal sets once. Rows without words have no node.
+    Rows without words have no node. The result is a table in the shared folder.
     """
-    names = ["key", "doc_id", "n", "node", "short", "signatures"]
+    names = ["key", "doc_id", "n", "node", "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures, seen = Signatures(percent), set()
+        common.only("words")
         for batch in batches:
-            n, nodes, shorts, told = [], [], [], []
+            n, nodes, shorts = [], [], []
             for raw in batch.column(2):
                 s = shingles(raw.as_py() or b"", k)
                 node = xxhash.xxh3_128_digest(s) if len(s) else None
                 n.append(len(s))
                 nodes.append(node)
-                shorts.append(int.from_bytes(node[:8], "little", signed=True) if node else None)
-                told.append(signatures.of(s).tobytes() if node and node not in seen else None)
-                seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64()), pa.array(told, pa.binary())], names)
+                shorts.append(_short(node) if node else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64())], names)
+
+    return common.cut(_texts(docs).mapInArrow(run, "key long, doc_id long, n long, node binary, short long"), "sets")
 
-    found = _texts(docs).mapInArrow(run, "key long, doc_id long, n long, node binary, short long, signatures binary")
-    return common.cut(found, "shingles", **{"parquet.enable.dictionary": "false"})
 
+def _short(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
 
-def _shared(table: DataFrame, within: bool) -> DataFrame:
-    """Signatures merged within each task: (u, v) of nodes that share one, or else (signature, u) with the first node.
 
-    So a signature of a very common set leaves a task once, however many sets there have it.
+def signature_rows(docs: DataFrame, one: DataFrame, k: int, percent: int, salt: int) -> DataFrame:
+    """(signature, u): the signatures of the sets of ``one`` (key), each with a set that has it, once for each task.
+
+    Signatures are merged within a task, so one of a very common set leaves a task once, however many sets there have
+    it. Sets that a task finds to share one are told by a row of their own each, for a signature that stands for the
+    first of them.
     """
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(one))  # 2 ** MAP_BITS bits
 
     def merged(signature: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((node, signature))
         first = np.concatenate([[True], signature[order][1:] != signature[order][:-1]])[: len(signature)]
-        if not within:  # in the order of nodes, which compresses
-            kept = np.sort(order[first])
-            return pa.RecordBatch.from_arrays([pa.array(signature[kept].view(np.int64)), pa.array(node[kept])], ["signature", "u"])
-        node = node[order]
-        lead = node[first][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack([node, lead], axis=1)[node != lead], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        kept, sorted_node = np.sort(order[first]), node[order]  # in the order of nodes, which compresses
+        lead = sorted_node[first][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack([lead, sorted_node], axis=1)[sorted_node != lead], axis=0)
+        leads = np.unique(pairs[:, 0])
+        star = _mix(np.concatenate([pairs[:, 0], leads]).view(np.uint64) ^ np.uint64(1))
+        rows = [np.concatenate([signature[kept], star]).view(np.int64), np.concatenate([node[kept], pairs[:, 1], leads])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["signature", "u"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures, nodes, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-        for batch in batches:
-            short = batch.column(0).to_numpy()
-            for node, s in zip(short, batch.column(1), strict=True):
-                signatures.append(np.frombuffer(s.as_buffer(), "<u8") if len(s.as_buffer()) else np.empty(0, np.uint64))
-                nodes.append(np.full(len(signatures[-1]), node))
-                held += len(signatures[-1])
-            if held > MERGED:
-                yield merged(np.concatenate(signatures), np.concatenate(nodes))
-                signatures, nodes, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-        yield merged(np.concatenate(signatures), np.concatenate(nodes))
+        common.only("words")
+        signatures, told, nodes, held = Signatures(percent), [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        for _, ids, sets in _chosen(batches, marked.value, k):
+            for node, s in zip(ids, sets, strict=True):
+                told.append(signatures.of(np.sort(_mix(s ^ np.uint64(salt))) if salt else s))
+                nodes.append(np.full(len(told[-1]), _short(node)))
+                held += len(told[-1])
+                if held > MERGED:
+                    yield merged(np.concatenate(told), np.concatenate(nodes))
+                    told, nodes, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        yield merged(np.concatenate(told), np.concatenate(nodes))
 
-    rows = table.where("signatures IS NOT NULL").select("short", "signatures")
-    return rows.mapInArrow(run, "u long, v long" if within else "signature long, u long")
+    return _texts(docs).select("key", "text").mapInArrow(run, "signature long, u long")
 
 
-def candidates(table: DataFrame) -> DataFrame:
-    """(short, root): groups of sets that shared signatures connect; sets that link are in one group."""
-    by_signature = W.partitionBy("signature")
-    between = _shared(table, within=False).withColumn("v", F.min("u").over(by_signature)).where("u <> v").select("u", "v")
-    found = common.components(between.unionAll(_shared(table, within=True)))
-    return common.cut(found.select(F.col("node").alias("short"), "root"), "groups")
+def candidates(docs: DataFrame, one: DataFrame, k: int, percent: int, salt: int = 0) -> DataFrame:
+    """(short, root): groups of the sets of ``one`` (key) that shared signatures connect.
+
+    Sets that link are in one group; sets that are alone are in none. Another ``salt`` makes other signatures.
+    """
+    told = signature_rows(docs, one, k, percent, salt).withColumn("v", F.min("u").over(W.partitionBy("signature")))
+    found = common.components(told.where("u <> v").select("u", "v"))
+    groups = common.cut(found.select(F.col("node").alias("short"), "root"), "groups")
+    common.release(docs.sparkSession)
+    return groups
 
 
 def _place(key: np.ndarray) -> np.ndarray:
@@ -328,105 +351,141 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return common.tree_merge(keys.select("key").mapInArrow(run, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
 
 
-def refined(docs: DataFrame, one: DataFrame, k: int, percent: int, salt: int) -> DataFrame:
-    """``one`` (node, short, key, root, n) with its groups cut by signatures of other parts; sets left alone are dropped.
-
-    Sets that link share a signature whatever the parts, so no link leaves a group, while sets that common passages
-    have chained by chance seldom meet again.
-    """
-    marked = docs.sparkSession.sparkContext.broadcast(bitmap(one))  # 2 ** MAP_BITS bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures, bits = Signatures(percent), np.unpackbits(marked.value).view(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(bits[_place(batch.column(0).to_numpy())]))
-            out, shorts = [np.empty(0, np.uint64)], []
-            for raw in batch.column(1):
-                s = shingles(raw.as_py() or b"", k)
-                out.append(signatures.of(np.sort(_mix(s ^ np.uint64(salt)))) if len(s) else out[0])
-                shorts.append(int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True))
-            rows = pa.array(np.repeat(np.arange(len(shorts)), [len(x) for x in out[1:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(shorts, pa.int64()).take(rows), pa.array(np.concatenate(out).view(np.int64))], ["key", "short", "signature"])
-
-    told = _texts(docs).select("key", "text").mapInArrow(run, "key long, short long, signature long").join(one.select("key", "short", "root"), ["key", "short"])
-    edges = told.withColumn("v", F.min("short").over(W.partitionBy("signature", "root"))).where("short <> v").select(F.col("short").alias("u"), "v")
-    found = common.components(edges).select(F.col("node").alias("short"), "root")
-    return one.drop("root").join(found, "short").select("node", "short", "key", "root", "n")
-
-
-def links(docs: DataFrame, rows: DataFrame, groups: DataFrame, k: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(node, root) for every set that links to another: the smallest node of its component.
-
-    The shingles of candidates alone are made once more, from one document for each set.
+def _chosen(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, k: int) -> Iterator[tuple[list[int], list[bytes], list[np.ndarray]]]:
+    """Keys, nodes and sets of the texts of (key, text) whose key is in the bitmap, some at a time."""
+    common.only("words")
+    keys, nodes, sets, held = [], [], [], 0
+    for batch in batches:
+        place = _place(batch.column(0).to_numpy()).astype(np.int64)
+        batch = batch.filter(pa.array(((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)))
+        for key, raw in zip(*batch.columns, strict=True):
+            s = shingles(raw.as_py() or b"", k)
+            if len(s):
+                keys.append(key.as_py())
+                nodes.append(xxhash.xxh3_128_digest(s))
+                sets.append(s)
+                held += s.nbytes
+            if held > HELD:
+                yield keys, nodes, sets
+                keys, nodes, sets, held = [], [], [], 0
+    yield keys, nodes, sets
+
+
+def _found(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): the links, as each set with the first that it reaches, within each (root, part) of ``dealt``.
+
+    ``dealt`` (node, key, task, root, part, known) names the sets that a task searches, one document for each, with
+    what connects some of them beforehand. Shingles are made once more, of those documents only.
     """
-    one = rows.where("holds").select("short", "node", "n", "key").join(groups, "short")
-    one = one.groupBy("node").agg(F.min("key").alias("key"), F.first("root").alias("root"), F.first("n").alias("n"), F.first("short").alias("short"))
-    one = common.cut(one.select("node", "short", "key", "root", "n"), "candidates")
-    for salt in range(1, ROUNDS + 1):
-        large = common.cut(one.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") > block).select("root"), "large")
-        if large.isEmpty():
-            break
-        cut = refined(docs, common.cut(one.join(large, "root", "left_semi"), "large"), k, percent, salt)
-        one = common.cut(one.join(large, "root", "left_anti").unionByName(cut), "candidates")
-        common.release(docs.sparkSession)
-    marked = docs.sparkSession.sparkContext.broadcast(bitmap(one))  # 2 ** MAP_BITS bits
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(dealt))  # 2 ** MAP_BITS bits
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marked.value).view(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(bits[_place(batch.column(0).to_numpy())]))
-            sets = [shingles(raw.as_py() or b"", k) for raw in batch.column(1)]
-            nodes = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "node", "shingles"])
-
-    members = _texts(docs).select("key", "text").mapInArrow(again, "key long, node binary, shingles binary")
-    chunks = common.cut(one.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("chunks")), "chunks")
-    total = one.agg(F.sum("n")).first()[0] or 0
-    many = F.transform(F.sequence(F.lit(0), F.col("chunks") - 2), lambda i: F.when(i < F.col("chunk"), i).otherwise(i + 1))
-    pairs = F.transform(many, lambda j: F.struct(F.least(j, F.col("chunk")).alias("i"), F.greatest(j, F.col("chunk")).alias("j")))
-    alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    dealt = one.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    dealt = dealt.withColumn("pair", F.explode(F.when(F.col("chunks") > 1, pairs).otherwise(alone)))
-    task = F.when(F.col("chunks") > 1, F.xxhash64("root", "pair")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total * TASK_SHARE / block)))))
-    dealt = dealt.select("node", "key", "root", task.alias("task"), F.col("pair.i"), F.col("pair.j"))
-    dealt = members.join(dealt, ["node", "key"]).select("task", "root", "i", "j", "node", "shingles")
+        for keys, nodes, sets in _chosen(batches, marked.value, k):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "node", "shingles"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in frame.groupby(["root", "i", "j"]):
+        for _, part in frame.groupby(["root", "part"]):
             part = part.drop_duplicates("node").sort_values("node")
             nodes = part["node"].tolist()
-            found = search([np.frombuffer(x, "<u8") for x in part["shingles"]], percent)
+            found = search([np.frombuffer(x, "<u8") for x in part["shingles"]], percent, part["known"].tolist())
             sizes = np.bincount(found)
             out += [(nodes[i], nodes[f]) for i, f in enumerate(found) if sizes[f] > 1]
         return pd.DataFrame(out, columns=["u", "v"])
 
+    members = _texts(docs).select("key", "text").mapInArrow(again, "key long, node binary, shingles binary")
+    dealt = members.join(dealt, ["node", "key"]).select("task", "root", "part", "node", "known", "shingles")
     found = common.cut(dealt.groupBy("task").applyInPandas(run, "u binary, v binary"), "found")
     common.release(docs.sparkSession)
-    if chunks.agg(F.max("chunks")).first()[0] in (None, 1):
-        return found.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return common.components(found)
+    return found
 
 
+def _grouped(docs: DataFrame, nodes: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """(node, short, key, root, n): ``nodes`` (node, short, key, n) that may link, by candidate group.
+
+    Groups too large for one task are cut by other signatures: sets that link share one whatever the parts, while sets
+    that common passages have chained by chance seldom meet again. That ends once it cuts little, as true clusters stay.
+    """
+    groups = candidates(docs, nodes, k, percent)
+    one = common.cut(nodes.join(groups, "short").select("node", "short", "key", "root", "n"), "candidates")
+    before = None
+    for salt in range(1, ROUNDS + 1):
+        sizes = one.groupBy("root").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where(F.col("size") > block)
+        large = common.cut(sizes, "large")
+        now = large.agg(F.sum("size")).first()[0]
+        if not now or (before and now > WORTH * before):
+            break
+        before = now
+        part = common.cut(common.hot_join(one, large, ["root"], "sets", "node").select(*one.columns), "part")
+        again = candidates(docs, part, k, percent, salt).withColumnRenamed("root", "other")
+        part = part.join(again, "short").withColumn("root", F.xxhash64("root", "other")).select(*one.columns)
+        rest = one.join(large.select("root"), "root", "left_anti").select(*one.columns)
+        one = common.cut(rest.unionByName(part), "candidates")
+        common.release(docs.sparkSession)
+    return one
+
+
+def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(node, root) for every set that links to another: the smallest node of its component.
+
+    The shingles of candidates alone are made once more, from one document for each set. A group too large for a task
+    is cut into chunks, each searched with the group's leaders, which connects most of a true cluster. What is then
+    outside the group's largest component is searched against all chunks, and only that: links within a component
+    tell nothing new.
+    """
+    one = _grouped(docs, nodes, k, percent, block)
+    chunks = one.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("chunks"), F.count(F.lit(1)).alias("sets"))
+    one = common.cut(common.hot_join(one, common.cut(chunks, "chunks"), ["root"], "sets", "node"), "chunked")
+    some = one.agg(F.sum("n"), F.max("chunks")).first()
+    tasks = max(1, math.ceil((some[0] or 0) * TASK_SHARE / block))
+    task = F.when(F.col("chunks") > 1, F.xxhash64("root", "part")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks)))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    columns = ["node", "key", "task", "root", "part", "known"]
+    unknown = lambda df: df.withColumns({"task": task, "known": F.col("node")}).select(*columns)
+    large = one.where("chunks > 1")
+    led = large.groupBy("root", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS))).agg(F.min(F.struct("node", "key")).alias("lead"), F.first("chunks").alias("chunks"))
+    led = led.select("lead.node", "lead.key", "root", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
+    found = _found(docs, common.cut(unknown(one.withColumn("part", own)).unionByName(unknown(led)), "dealt"), k, percent)
+    if (some[1] or 1) == 1:
+        return found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    labels = common.components(found)
+    large = large.join(labels.select("node", F.col("root").alias("label")), "node", "left").withColumn("known", F.coalesce("label", "node"))
+    large = common.cut(large.drop("label"), "labelled")
+    sizes = large.groupBy("root", "known").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("root").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.sum("size").alias("sets"))
+    large = common.cut(common.hot_join(large.drop("sets"), common.cut(main, "main"), ["root"], "sets", "node"), "led")
+    others = large.where("known <> main")
+    asking = others.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("asks"), F.first("sets").alias("sets"))
+    asking = common.cut(asking, "asking")
+    if asking.isEmpty():
+        return labels
+    large = common.hot_join(large.drop("sets"), asking, ["root"], "sets", "node")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    ask = F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks"))
+    asked = large.withColumn("ask", each("asks")).withColumn("part", F.col("ask") * F.col("chunks") + own)
+    asks = large.where("known <> main").withColumn("chunk", each("chunks")).withColumn("part", ask * F.col("chunks") + F.col("chunk"))
+    dealt = asked.select("node", "key", "root", "part", "known").unionByName(asks.select("node", "key", "root", "part", "known"))
+    more = _found(docs, common.cut(dealt.withColumn("task", F.xxhash64("root", "part")).select(*columns), "dealt"), k, percent)
+    return common.components(found.unionByName(more))
+
+
+@common.tidy
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text): doc_id, n_shingles and component_id.
 
     Documents link when the Jaccard similarity of their sets of k-word shingles reaches percent/100; component_id is
     the smallest doc_id that links reach. Equal sets are one node, so copies are never paired. Sets that share a
-    signature form candidate groups, which no link leaves; each group is searched exactly, and a group too large for
-    a task is cut into chunks that are searched pair by pair. Signatures, candidates and links cover the whole
+    signature form candidate groups, which no link leaves; each group is searched exactly, one too large for a task in
+    chunks. Signatures, candidates and links cover the whole
     corpus; only a bitmap of fixed size is sent to all tasks.
 
     Defined results: words end at ASCII white space and A-Z are lower-cased; a text of fewer than k words is one
     shingle; a null or empty text has none and is linked with nothing; repeated rows link as copies do; a null
     doc_id is never a component's smallest; an empty table gives no rows; other columns are ignored.
     """
-    table = shingle_table(docs, k, percent)
-    rows = common.cut(table.select("doc_id", "key", "n", "node", "short", F.col("signatures").isNotNull().alias("holds")), "sets")
-    groups = candidates(table)
-    common.drop(table)
-    common.release(docs.sparkSession)
-    linked = links(docs, rows, groups, k, percent, block).withColumnRenamed("root", "top")
+    rows = set_table(docs, k)
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("short").alias("short"))
+    linked = links(docs, common.cut(nodes, "nodes"), k, percent, block).withColumnRenamed("root", "top")
     rows = rows.select("doc_id", "n", "node")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
     nodes = nodes.select("node", "least", F.coalesce("top", "node").alias("top"))
@@ -435,13 +494,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+@common.tidy
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that have a smaller doc_id in their component; a null doc_id stays.
 
-    Rows that share a doc_id stay or go together.
+    Rows that share a doc_id stay or go together. Defined results are otherwise those of ``near_duplicates``; all
+    columns stay, whatever their names.
     """
     found = near_duplicates(docs, k, percent)
-    gone = common.cut(found.where("component_id <> doc_id").select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = common.cut(found.where("component_id <> doc_id").select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").alias("gone")).distinct(), "gone")
     marked = docs.sparkSession.sparkContext.broadcast(bitmap(gone))  # 2 ** MAP_BITS bits
     keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"))
 
@@ -453,9 +514,11 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(bits[_place(batch.column(1).to_numpy())] == inside))
 
-        return keyed.mapInArrow(run, keyed.schema).select("doc.*")
+        return keyed.mapInArrow(run, keyed.schema)
 
-    return part(False).unionAll(part(True).join(gone.select("__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti"))
+    # the row is one column until the join is done, so that no name of its own can clash
+    stay = part(True).join(gone.select("gone"), F.col("doc.doc_id").cast("long") == F.col("gone"), "left_anti")
+    return part(False).unionAll(stay).select("doc.*")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
