@@ -276,3 +276,263 @@ def test_pipeline_against_its_parts_by_brute_force(spark):
     packed = corpus_pipeline.STAGES[4][1](spark, docs, SF_DIR).toPandas()
     assert packed["length"].sum() == sum(len(words.encode(r["text"])) // 4 + 1 for r in docs.collect())
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+# --- odd inputs and independent versions -----------------------------------------------------------------------------
+
+
+def test_half_surrogates_and_odd_schemas_stop_nothing(spark):
+    odd = [{"required": True}, {"enum": 3}, {"type": 7}, {"type": [1, "integer"]}, {"properties": [1]}, {"required": [1, "k"]}, {"items": 5, "minLength": "x"}, [], None]
+    for schema in odd:
+        for value in (1, "x", {"k": 1}, [1], None):
+            toolcalls.check(value, schema)
+    assert toolcalls.check(10**400, {"type": "integer", "minimum": 1.5}) is None and toolcalls.check({"a": 1}, {"properties": {"a": {"required": 1, "type": "string"}}}) == "$.a: not string"
+    deep = "[" * 5000 + "]" * 5000
+    turns = [
+        (1, 0, "system", '<tools>[{"name":"f","parameters":{"required":true,"enum":1,"properties":[2]}}]</tools>'),
+        (1, 1, "assistant", '<tool_call>{"id":"a","name":"f","arguments":{"x":"\\ud800","\\udfff":1e400}}</tool_call>'),
+        (1, 2, "assistant", '<tool_call>{"id":"b","name":"f","arguments":{"x":"\\ud800"}}</tool_call><tool_call>{"id":"\\ud800","name":"f"}</tool_call>'),
+        (1, 3, "tool", '<tool_result>{"id":"b","content":"\\udead"}</tool_result>'),
+        (1, 4, "assistant", f'<tool_call>{{"id":"d","name":"f","arguments":{deep}}}</tool_call>'),
+        (1, 5, "assistant", '<tool_call>{"id":"e","name":"f","arguments":{"n":' + "9" * 400 + "}}</tool_call>"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = {r["turn"]: json.loads(r["message"]) for r in toolcalls.format_chat(df).collect()}
+    assert [x["status"] for x in made[2]["tool_calls"]] == ["linked", "malformed"] and made[2]["tool_calls"][0]["result"] == "\udead"
+    assert made[1]["tool_calls"][0]["status"] == "malformed" and made[4]["tool_calls"][0]["status"] in ("malformed", "unanswered")
+    assert made[5]["tool_calls"][0]["arguments"] == {"n": int("9" * 400)}
+
+
+def brute_chat(turns):
+    """Statuses and levels of calls and results by plain loops, for well-formed blocks."""
+    calls, results, level = {}, {}, {}
+    place = sorted(range(len(turns)), key=lambda i: (turns[i][0] is not None, turns[i][0] or 0, turns[i][1], i))
+    found, owners = [], {}
+    for i in place:
+        conv, turn, role, text = turns[i]
+        for pos, (kind, key, name, body, refs, error) in enumerate(toolcalls.parse(role, text)[1]):
+            found.append((conv, turn, i, pos, kind, key, refs))
+    for conv, turn, i, pos, kind, key, refs in found:
+        if kind == "call":
+            first = conv is not None and (conv, key) not in owners
+            if first:
+                owners[conv, key] = (turn, i, pos, refs)
+            calls[i, pos] = "unanswered" if first or conv is None else "duplicate"
+    taken = set()
+    for conv, turn, i, pos, kind, key, refs in found:
+        if kind == "result":
+            owner = owners.get((conv, key))
+            if not owner or (turn, i, pos) < owner[:3]:
+                results[i, pos] = "orphan"
+            elif (conv, key) in taken:
+                results[i, pos] = "duplicate"
+            else:
+                taken.add((conv, key))
+                results[i, pos] = "linked"
+                calls[owner[1], owner[2]] = "linked"
+    for (conv, key), (_, i, pos, _) in owners.items():
+        seen, depth = {key}, 0
+        need = {r for r in owners[conv, key][3] if (conv, r) in owners}
+        while need and depth <= len(owners):
+            depth += 1
+            need = {r for k in need for r in owners[conv, k][3] if (conv, r) in owners}
+        level[i, pos] = depth if depth <= len(owners) else -1
+    return calls, results, level
+
+
+@pytest.mark.parametrize(("most", "hot"), [(20_000, 5000), (1, 2)])
+def test_links_and_levels_are_those_of_plain_loops(spark, monkeypatch, most, hot):
+    from lakemill.llm import common
+
+    monkeypatch.setattr(toolcalls, "ORDERED", most)
+    monkeypatch.setattr(toolcalls.levels, "__defaults__", (most,))
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = random.Random(most)
+    turns = []
+    for conv in (1, 1, 1, 2, 3):
+        for _ in range(25):
+            key = f"k{rng.randrange(18)}"
+            refs = {f"a{j}": {"$ref": f"k{rng.randrange(18)}"} for j in range(rng.choice((0, 0, 1, 2)))}
+            block = call(id=key, name="f", arguments=refs) if rng.random() < 0.6 else result(id=key, content=1)
+            turns.append((conv, len(turns), "assistant" if "tool_call" in block else "tool", block))
+    for _ in range(20):
+        turns.append((4, len(turns), "assistant", call(id=f"c{len(turns)}", name="f", arguments={"a": {"$ref": f"c{len(turns) - 1}"}})))
+    df = spark.createDataFrame([(*t, i) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string, i long").coalesce(1)
+    _, calls, results = toolcalls.link(df)
+    by_turn = {t[1]: i for i, t in enumerate(turns)}
+    wanted_calls, wanted_results, wanted_levels = brute_chat(turns)
+    rows = calls.collect()
+    assert {(by_turn[r["turn"]], r["pos"]): r["status"] for r in rows} == wanted_calls
+    assert {(by_turn[r["turn"]], r["pos"]): r["status"] for r in results.collect()} == wanted_results
+    assert {(by_turn[r["turn"]], r["pos"]): r["level"] for r in rows if r["level"] is not None} == wanted_levels
+
+
+@pytest.mark.parametrize("share", [1.0, 0.2])
+def test_exclusive_or_of_two_words_is_learnt(spark, share):
+    """Neither word tells anything alone: toxic are documents that have just one of them."""
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(int(2000 / max(share, 0.4))):
+        w, told = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(8)], 0
+        if rng.random() < share:
+            kind = rng.randrange(4)
+            w += ["group"] * (kind & 1) + ["remark"] * (kind >> 1)
+            told = int(kind in (1, 2)) if share == 1 else int(kind == 3)
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, 1, told))
+    docs, told = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.learn(docs, told)).collect()}
+    right = [found[i]["predicted"] == t for i, _, t in labels if found[i]["held_out"]]
+    assert np.mean(right) > 0.95
+
+
+def test_fits_do_not_depend_on_which_repeated_row_comes_first(spark):
+    rng = random.Random(3)
+    rows = [(i % 40, " ".join(rng.choices(["good", "bad", "worse", "words"], k=6)), "en", "s") for i in range(120)]
+    told = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    a, b = frame(spark, rows), frame(spark, rows[::-1]).repartition(5)
+    assert np.array_equal(toxicity.learn(a, told).weight, toxicity.learn(b, told).weight)
+    assert np.array_equal(quality.learn(a, told)[0].weight, quality.learn(b, told)[0].weight)
+    assert toxicity.score(a.limit(0), toxicity.learn(a, told)).count() == 0
+
+
+def test_top_k_of_vectors_of_any_size(spark):
+    rng = random.Random(6)
+    sizes = [1.0, 1e6, 1e15, 1e100, 1e300]
+    vectors = [(i, [rng.uniform(-1, 1) * rng.choice(sizes) for _ in range(3)]) for i in range(210)] + [(900, [1e308, 0.0, 0.0]), (1000, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    ready = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if all(math.isfinite(1024 * x) for x in v)]
+    expected = []
+    for q, v in sorted((i, v) for i, v in ready if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ready if i != q)[:10]
+        expected += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(scores)]
+    found = topk.top_k(df, F.col("vec_id") % 100 == 0)
+    assert sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in found.collect()) == expected
+
+
+def brute_sites(scored, rate_prior):
+    """Posteriors of (host, path, evidence) rows by loops over sites, each document without its own evidence."""
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    p = [logistic(e + math.log(rate_prior / (1 - rate_prior))) for _, _, e in scored]
+
+    def strength(groups):
+        chance = sum(m * (1 - m) for _, _, m in groups)
+        gap = sum((g / n - m) ** 2 * n for n, g, m in groups)
+        total = sum(n for n, _, _ in groups)
+        if len(groups) < 2 or total <= len(groups):
+            return 1e6
+        between = max((gap - chance) / total, 0)
+        within = sum(m * (1 - m) * n for n, _, m in groups) / total
+        return min(max(within / between - 1, 1), 1e6) if between > 0 else 1e6
+
+    def sums(key):
+        out = {}
+        for (h, s, _), x in zip(scored, p, strict=True):
+            n, g = out.get(key(h, s), (0, 0.0))
+            out[key(h, s)] = n + 1, g + x
+        return out
+
+    hosts, paths = sums(lambda h, s: h), sums(lambda h, s: (h, s))
+    rate = min(max((sum(p) + rate_prior) / (len(p) + 1), 0.001), 0.999)
+    w_host = strength([(n, g, rate) for n, g in hosts.values()])
+    w_path = strength([(n, g, (hosts[h][1] + w_host * rate) / (hosts[h][0] + w_host)) for (h, _), (n, g) in paths.items()])
+    out = []
+    for (h, s, e), x in zip(scored, p, strict=True):
+        host = min(max((hosts[h][1] - x + w_host * rate) / (hosts[h][0] - 1 + w_host), 0.001), 0.999)
+        path = min(max((paths[h, s][1] - x + w_path * host) / (paths[h, s][0] - 1 + w_path), 0.001), 0.999)
+        out.append((host, path, logistic(e + math.log(path / (1 - path)))))
+    return out
+
+
+@pytest.mark.parametrize(("most", "hot"), [(50_000, 5000), (0, 3)])
+def test_posteriors_are_those_of_plain_sums(spark, monkeypatch, most, hot):
+    from lakemill.llm import common
+
+    monkeypatch.setattr(quality, "SITES", most)
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = random.Random(4)
+    sites = [("a|=b", "c"), ("a", "b|=c"), ("a", None), (None, "c"), ("", "c"), ("a", "")]
+    rows = [(i, " ".join(rng.choices(["$$$x", "!!", "word", "other", "text"], k=12)), lang, source) for i in range(300) for source, lang in [sites[min(rng.randrange(9), 5)]]]
+    labels = spark.createDataFrame([(i, int("$$$x" not in t), 0) for i, t, _, _ in rows], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows, extra=True)
+    _, prior = quality.learn(docs, labels)
+    found = sorted(quality.assess(docs, labels).collect(), key=lambda r: r["doc"]["doc_id"])
+    assert len(found) == len(rows)
+    expected = brute_sites([(r["doc"]["source"], r["doc"]["lang"], r["evidence"]) for r in found], prior)
+    for r, (host, path, good) in zip(found, expected, strict=True):
+        assert (r["host_posterior"], r["path_posterior"], r["quality"]) == pytest.approx((host, path, good)) and r["keep"] == (r["quality"] >= quality.THRESHOLD)
+
+
+def test_a_class_of_many_rows_is_cut_into_cells(spark):
+    rows = [(i, "w w", "en", "a") for i in range(400)] + [(1000 + i, "w " * (i % 30), "en", "b") for i in range(300)]
+    docs = frame(spark, rows)
+    whole = rows_of(mixing.sample_counts(docs, cell_rows=10**6), "doc_id", "size", "source_size", "target", "copies")
+    branch, mixing.BRANCH = mixing.BRANCH, 3
+    try:
+        assert rows_of(mixing.sample_counts(docs.repartition(6), cell_rows=7), "doc_id", "size", "source_size", "target", "copies") == whole
+    finally:
+        mixing.BRANCH = branch
+
+
+def brute_mix(rows):
+    """Copies of (doc_id, size, source) rows: targets by water filling, then one walk along each source."""
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sizes = {}
+    for _, n, s in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    goal, total = {}, sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in goal]
+        level = (total - sum(goal.values())) / max(sum(weight[s] for s in free), 1)
+        over = [s for s in free if 3 * sizes[s] < level * weight[s]]
+        if not over:
+            goal |= {s: level * weight[s] for s in free}
+            break
+        goal |= {s: 3 * sizes[s] for s in over}
+    out = []
+    for s in names:
+        rate = goal[s] / sizes[s] if sizes[s] else 0.0
+        at = int(md5("0|" + (s or ""))[:4], 16) / 65536
+        mine = sorted((r for r in rows if r[2] == s), key=lambda r: (len(str(r[1])) * 1000 + int(str(r[1])[:3]), md5(str(r[0])), r[1], r[0]))
+        for i, (doc, n, _) in enumerate(mine, 1):
+            out.append((doc, min(math.floor(i * rate + at) - math.floor((i - 1) * rate + at), 3)))
+    return dict(out)
+
+
+@tables
+def test_pipeline_run_on_whole_tables_by_brute_force(spark):
+    import re
+
+    import corpus_pipeline
+    import public_tokenizers
+    from test_text_operators import brute_components, brute_spans, brute_terms
+
+    docs, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    classifier, prior = quality.learn(docs, labels)
+    evidence = classifier.evidence(np.array([quality.features((r["text"] or "").encode()) for r in rows]))
+    judged = brute_sites([(r["source"], r["lang"], float(e)) for r, e in zip(rows, evidence, strict=True)], prior)
+    rows = [r for r, (_, _, good) in zip(rows, judged, strict=True) if good >= quality.THRESHOLD]
+    alone = {doc for doc, _, component in brute_components([(r["doc_id"], r["text"]) for r in rows], 5, 80) if doc == component}
+    texts = [(r["doc_id"], r["text"], r["source"]) for r in rows if r["doc_id"] in alone]
+    terms, clean = brute_terms([(doc, text) for doc, text, _ in texts]), []
+    for row, (doc, text, source) in enumerate(texts):
+        marks = sorted([(s, e, f"[{k.upper()}]") for k, s, e in brute_spans(text)] + [(s, e, "" if gone else "[TERM]") for s, e, gone in terms[row]])
+        out, at = [], 0
+        for s, e, by in marks:
+            if s >= at:
+                out += [text[at:s], by]
+            at = max(at, e)
+        clean.append((doc, "".join(out) + (text or "")[at:] if text is not None else None, source))
+    copies = brute_mix([(doc, len(re.findall(r"[^\x20\x09-\x0D]+", text or "")), source) for doc, text, source in clean])
+    words = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    expected = {doc: (copies[doc], len(words.encode(text or "")) // 4 + 1) for doc, text, _ in clean if copies[doc]}
+    found = corpus_pipeline.run(spark, SF_DIR).toPandas()
+    assert found.groupby("sequence_id")["length"].sum().max() <= packing.WINDOW
+    got = {doc: (int(round(s["length"].sum() / s["doc_tokens"].iloc[0])), int(s["doc_tokens"].iloc[0])) for doc, s in found.groupby("doc_id")}
+    assert got == expected

@@ -314,3 +314,170 @@ def test_sanitised_texts_keep_what_is_between(spark):
     cleaned = pii.sanitise(frame(spark, rows, extra=True))
     assert cleaned.columns == frame(spark, rows, extra=True).columns
     assert sorted(((r["doc_id"], r["text"]) for r in cleaned.collect()), key=repr) == [(1, "mail [EMAIL], ip [IP]; end"), (2, None), (3, "clean"), (3, "clean")]
+
+
+# --- defined results and odd inputs ----------------------------------------------------------------------------------
+
+
+def test_ids_of_every_white_space_and_separator_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    whole, words = Tokenizer.from_file(VOCABULARY), packing.WordTokens(VOCABULARY)
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or c < 33)]
+    rng = random.Random(11)
+    texts = [f"a{s}B{s}" for s in signs] + ["".join(rng.choices([*signs, "a", "B", "é", "12", ".", "'s"], k=rng.randrange(1, 30))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_full_windows_of_long_documents_are_not_gathered(spark):
+    rows = [(1, "word " * 20000), (2, "one")]
+    found = packing.pack(frame(spark, rows), VOCABULARY, window=64, bucket_rows=1).toPandas()
+    assert (found["doc_id"] == 1).sum() == -(-20001 // 64) and found["sequence_id"].nunique() == len(found) - found.duplicated("sequence_id").sum()
+    assert (found[found["length"] == 64].groupby("sequence_id").size() == 1).all()
+
+
+def naive_peaks(samples):
+    raw, out = [x - 128 for x in samples], []
+    frames = -(-len(raw) // media.HOP)
+    window = np.hanning(media.FRAME).astype(np.float32)
+    for t in range(frames):
+        part = raw[t * media.HOP : t * media.HOP + media.FRAME]
+        part = np.array(part + [0] * (media.FRAME - len(part)), np.float32)
+        part = (part - part.mean()) * window
+        k = np.arange(media.FRAME // 2 + 1)[:, None]
+        size = np.abs((part[None, :] * np.exp(-2j * np.pi * k * np.arange(media.FRAME)[None, :] / media.FRAME)).sum(axis=1))
+        for low, high in media.BANDS:
+            out.append((t, size[low:high]))
+    return out
+
+
+def test_fingerprints_are_those_of_a_naive_transform():
+    samples = media.payload("A plain text of some words, with Ünïcode and 12345 digits. " * 12)
+    times, bins = media.peaks(samples)
+    of_frame = defaultdict(list)
+    for t, b in zip(times.tolist(), bins.tolist(), strict=True):
+        of_frame[t].append(b)
+    for i, (t, size) in enumerate(naive_peaks(samples)):
+        low, high = media.BANDS[i % len(media.BANDS)]
+        found = [b for b in of_frame[t] if low <= b < high]
+        assert len(found) == (size.max() > 1e-3) and (not found or size[found[0] - low] >= size.max() - 1e-2)
+    pairs = sorted((t, (a << 16) | (b << 8) | (u - t)) for t in of_frame for u in of_frame if 1 <= u - t <= media.FAN for a in of_frame[t] for b in of_frame[u])
+    at, codes = media.fingerprint(samples)
+    assert sorted(zip(at.tolist(), codes.tolist(), strict=True)) == pairs
+
+
+def test_media_query_stores_files_and_fingerprints(spark, tmp_path):
+    frame(spark, [(1, "some text " * 40), (2, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in media.op9_media(spark, str(tmp_path)).collect():
+        samples, _ = media.read_wav(bytes(r["media"]))
+        at, codes = media.fingerprint(samples)
+        assert hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"]
+        assert r["fingerprint_times"] == at.tolist() and r["fingerprint_codes"] == codes.tolist()
+
+
+@pytest.mark.parametrize("block", [40, 200])
+def test_large_groups_lose_no_link(spark, block):
+    """A cluster far over a block, with sets that link to a few of its members only, and a chain."""
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(60)]
+    rows += [(100 + i, " ".join([*base[:-3], f"x{rng.randrange(60)}", "y", f"z{i % 5}"])) for i in range(30)]
+    rows += [(200 + i, " ".join(f"c{j}" for j in range(i, i + 30))) for i in range(40)]
+    found = jaccard.near_duplicates(frame(spark, rows).repartition(3), 1, 90, block)
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_components(rows, 1, 90)
+
+
+def test_keep_first_keeps_columns_of_any_name(spark):
+    rows = frame(spark, [(5, "a b c d e f g"), (3, "a b c d e f g")]).withColumns({c: F.lit("x") for c in ("gone", "__gone", "key", "doc", "node")})
+    kept = jaccard.keep_first(rows)
+    assert kept.columns == rows.columns and [r["doc_id"] for r in kept.collect()] == [3]
+    assert jaccard.keep_first(rows.limit(0)).count() == 0
+
+
+def brute_passages(rows, length):
+    """(doc_id, row, first) -> words of repeated runs, each row a document."""
+    places = defaultdict(list)
+    for row, (doc, text) in enumerate(rows):
+        w = (text or "").encode().lower().split()
+        for s in range(len(w) - length + 1):
+            places[tuple(w[s : s + length])].append(((doc is not None, doc or 0), row, s))
+    found = defaultdict(set)
+    for at in places.values():
+        if len(at) > 1:
+            for doc, row, s in at:
+                found[row, (doc, row, s) == min(at)] |= set(range(s, s + length))
+    return found
+
+
+@pytest.mark.parametrize("hot", [3, 5000])
+def test_rows_of_one_doc_id_repeat_each_other(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = random.Random(hot)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(7, " ".join(passage)), (7, " ".join(passage)), (None, " ".join(passage)), (None, "x " + " ".join(passage)), (9, None), (10, "w " * 300)]
+    rows += [(100 + i, " ".join([f"u{rng.randrange(10**6)}" for _ in range(20)] + passage[i % 3 : 70 + i % 5])) for i in range(25)]
+    found = suffixes.repeats(frame(spark, rows, extra=True).coalesce(1)).collect()
+    got, expected = defaultdict(int), defaultdict(int)
+    for r in found:
+        got[r["doc_id"], r["first"]] += r["n_words"]
+    for (row, first), words in brute_passages(rows, 50).items():
+        expected[rows[row][0], first] += len(words)
+    assert dict(got) == dict(expected)
+    assert got[7, False] == 160
+
+
+def brute_terms(rows):
+    """Places of disclosing words, from document counts by plain loops."""
+    import math
+
+    import regex
+
+    n, of_entity, of_term, words = max(len(rows), 2), defaultdict(set), defaultdict(set), {}
+    for row, (_, text) in enumerate(rows):
+        for kind, s, e in brute_spans(text):
+            of_entity[kind, text[s:e].lower()].add(row)
+        words[row] = [(m.start() - 1, m.end() - 1, m.group().lower()) for m in regex.finditer(pii.TERM, f" {text or ''} ")]
+        for _, _, w in words[row]:
+            of_term[w].add(row)
+    told = defaultdict(float)
+    for docs in of_entity.values():
+        content = math.log(n / len(docs))
+        if content <= 0:
+            continue
+        for w in {w for row in docs for _, _, w in words[row]}:
+            expected = pii.PRIOR * math.exp(-content)
+            told[w] = max(told[w], 1 + math.log((len(docs & of_term[w]) + expected) / (len(of_term[w]) + pii.PRIOR)) / content)
+    return {row: [(s, e, told[w] >= pii.REMOVE) for s, e, w in words[row] if told[w] >= pii.GENERALISE] for row in range(len(rows))}
+
+
+def test_terms_are_those_of_plain_counts(spark):
+    rng = random.Random(13)
+    names = [f"{a}{b}" for a in ("Zan", "Quil", "Mor", "Tyl") for b in ("zibar", "lonby", "venna", "ero")]
+    rows = []
+    for i in range(250):
+        w = rng.choices(["many", "common", "words", "İstanbul", "über", "report"], k=rng.randrange(12)) + rng.choices(names, k=rng.choice((0, 0, 1, 2)))
+        w += rng.choice(([], [], [], ["a@b.example"], [f"u{rng.randrange(9)}@c.example", "10.0.0.1"], ["+1 212 555 0100"]))
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+    rows += [(900, None), (901, ""), (902, " ".join(f"p{i}@list.example onlyhere" for i in range(300)))]
+    found = {r["doc_id"]: [(s["start"], s["end"], s["remove"]) for s in r["terms"]] for r in pii.find(pii.numbered(frame(spark, rows, extra=True))).collect()}
+    expected = brute_terms(rows)
+    assert {k for k, v in found.items() if v} and found == {rows[row][0]: v for row, v in expected.items()}
+
+
+def test_spans_of_long_texts_are_found_in_time(spark):
+    import time
+
+    began = time.time()
+    rows = [(1, "a@b.cc " * 40_000), (2, "1.2.3.4 +1 212 555 0100, " * 20_000)]
+    found = {r["doc_id"]: (len(r["email"]), len(r["ip"]), len(r["phone"])) for r in pii.find(pii.numbered(frame(spark, rows))).collect()}
+    assert found == {1: (40_000, 0, 0), 2: (0, 20_000, 20_000)} and time.time() - began < 60
+
+
+def test_query_tells_removed_from_generalised_terms(spark, tmp_path):
+    filler = "many common words and nothing else to report, write and call"
+    rows = [(1, f"Quillonby {filler} to help@desk.example"), *((10 + i, f"Zanzibarov {filler} to boss@corp.example") for i in range(20)), *((100 + i, filler) for i in range(400))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["spans"] for r in pii.op8_pii(spark, str(tmp_path)).collect()}
+    assert found[1].endswith(",term:0:9") and found[10].endswith(",removed:0:10") and found[100] == ""
