@@ -72,16 +72,22 @@ def ship(spark: SparkSession) -> None:
     context._lakemill_shipped = True
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which a running operator deletes at its end if its result does not read it."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.add(path)
+    return path
+
+
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it again.
 
     The lineage ends there: a lost executor costs the tasks that read the table, not those that made it.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    for scope in _SCOPES:
-        scope.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -156,7 +156,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE,
     rows = common.cut(ready, "vectors")
     asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = asked.select(F.size("v").alias("width")).groupBy("width").count().collect()
-    out = None
+    path = common.new_path(spark, "topk")  # of all blocks, so that the plan of the result does not grow with them
+    found = False
     # one integer a vector length, whose number the model's widths bound
     for width, n in sorted(map(tuple, size)):
         same = rows.where(F.size("v") == width)
@@ -168,12 +169,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE,
                 continue
             got = got.sort_values("vec_id")
             qids, matrix = got["vec_id"].to_numpy(np.int64), np.array(got["v"].tolist(), np.float64).reshape(len(got), width)
-            reach = np.minimum(np.nan_to_num(np.abs(matrix).max(axis=1, initial=0.0) * far), float(FAR)).astype(np.int64)
-            part = common.cut(_best(same, qids, matrix, _edges(same, qids, matrix, reach, k), k), "topk")
-            out = part if out is None else out.unionAll(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out
+            with np.errstate(over="ignore", invalid="ignore"):
+                reach = np.minimum(np.nan_to_num(np.abs(matrix).max(axis=1, initial=0.0) * far), float(FAR)).astype(np.int64)
+            _best(same, qids, matrix, _edges(same, qids, matrix, reach, k), k).write.mode("append").parquet(path)
+            found = True
+    schema = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
 
 
 def _best(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, edge: np.ndarray, k: int) -> DataFrame:

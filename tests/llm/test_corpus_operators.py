@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakemill.llm import mixing, packing, pii, quality, toolcalls, topk, toxicity
+from lakemill.llm import jaccard, mixing, packing, pii, quality, suffixes, toolcalls, topk, toxicity
 from lakemill.llm.catalogue import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -536,3 +536,50 @@ def test_pipeline_run_on_whole_tables_by_brute_force(spark):
     assert found.groupby("sequence_id")["length"].sum().max() <= packing.WINDOW
     got = {doc: (int(round(s["length"].sum() / s["doc_tokens"].iloc[0])), int(s["doc_tokens"].iloc[0])) for doc, s in found.groupby("doc_id")}
     assert got == expected
+
+
+@tables
+def test_stages_take_odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, empty tables and names that the stages use themselves."""
+    import corpus_pipeline
+
+    long = " ".join(f"plain words of a long text {i % 977} end," for i in range(30_000))
+    rows = [(1, "A plain text of words that is long enough to be judged.", "en", "a"), (1, "A plain text of words that is long enough to be judged.", "en", "a"), (2, None, None, None), (None, "mail me at some.body@mail.example or +1 212 555 0100", None, "b"), (None, None, None, None), (3, "", "", ""), (4, long, "en", "a"), (5, long + " more", "en", "a"), (6, " \n\t ", "de", None)]
+    docs = frame(spark, rows, extra=True).withColumn("n_chars", F.length("text").cast("long")).withColumns({c: F.lit("y") for c in ("spans", "some", "flagged", "gone", "host", "no_path", "order_key", "class_rows", "kind", "hit")})
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, SF_DIR)
+        out = found.collect()
+        if name != "packing":
+            assert found.columns == docs.columns
+            assert all(r["key"] == "x" and r["spans"] == "y" and r["n_chars"] == (r["text"] if r["text"] is None else len(r["text"])) for r in out)
+        told = sorted(str(r["doc_id"]) for r in out)
+        if name == "PII":
+            assert told == sorted(str(r[0]) for r in rows) and {r["text"] for r in out if r["text"] and "mail" in r["text"]} == {"mail me at [EMAIL] or [PHONE]"}
+        if name == "n-gram Jaccard join":
+            assert told == sorted(["1", "1", "2", "None", "None", "3", "4", "6"])
+        if name == "packing":
+            assert {r["doc_id"] for r in out} == {1, 2, 3, 4, 5, 6, None} and sum(r["length"] for r in out if r["doc_id"] == 2) == 1
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_long_texts_are_read_whole(spark):
+    """What decides stands at the far end of texts of some megabytes."""
+    filler = " ".join(f"word{i % 5003}" for i in range(400_000))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"{filler} {passage} insulting", "en", "s"), (2, f"{passage} other", "en", "s"), (3, filler, "en", "s")]
+    docs = frame(spark, rows)
+    found = [tuple(r) for r in suffixes.repeats(docs.where("doc_id <> 3")).where("NOT first").select("doc_id", "n_words").collect() if r["n_words"] == 60]
+    assert found == [(2, 60)]
+    linked = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
+    assert linked[1][1] == linked[3][1] == 1 and linked[2] == (57, 2)
+    labels = [(100 + i, 1, i % 2) for i in range(200)]
+    texts = [(100 + i, "insulting words" if i % 2 else "other words", "en", "s") for i in range(200)]
+    machine = toxicity.learn(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, machine).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_empty_tables_give_no_rows(spark):
+    none = frame(spark, [(1, "a", "en", "s")], extra=True).limit(0)
+    assert pii.sanitise(none).count() == 0 and mixing.mix(none).count() == 0 and jaccard.keep_first(none).count() == 0
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(none, labels).count() == 0 and quality.assess(none, labels.limit(0)).count() == 0
