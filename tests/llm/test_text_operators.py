@@ -171,6 +171,31 @@ def test_no_signature_misses_a_link():
                     assert len(np.intersect1d(signatures.of(a), signatures.of(b)))
 
 
+def test_linked_sets_share_as_many_signatures_as_a_link_needs():
+    rng = np.random.default_rng(9)
+    for percent in (60, 80, 90):
+        signatures = jaccard.Signatures(percent)
+        for n in [*range(2, 60), 90, 250, 700]:
+            for _ in range(4):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * 2)
+                most = len(a) * (100 - percent) // percent
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[: max(1, -(-len(a) * percent // 100))]], rng.integers(0, 1 << 63, rng.integers(0, most + 1), dtype=np.uint64) * 2]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
+                    pairs = [(len(np.intersect1d(x, y)), max(p, q)) for i, x, p in signatures.kinds(a) for j, y, q in signatures.kinds(b) if (i, j) in ((0, 0), (1, 2), (2, 1))]
+                    assert any(shared >= max(need, 1) for shared, need in pairs)
+
+
+def test_common_passages_alone_make_no_candidates(spark):
+    """A hundred documents of 300 words share one passage of 60: each shares too few signatures for any link."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(120)) + f" {passage} " + " ".join(f"v{i}x{j}" for j in range(120))) for i in range(100)]
+    docs = frame(spark, rows).repartition(3)
+    sets = jaccard.set_table(docs, 5)
+    nodes = sets.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("short").alias("short"))
+    assert jaccard.candidates(docs, nodes, 5, 80).count() == 0
+
+
 def test_merge_skip_counts_like_brute_force():
     rng = random.Random(2)
     for _ in range(200):
