@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import io
@@ -10,7 +11,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import reduce, wraps
 from operator import or_
 from pathlib import Path
@@ -27,10 +28,12 @@ BITS = 24
 HOT = 5000
 SALTS = 64
 
+#: Rows and bytes that Python workers get at once at most: they hold texts of any length.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: What empties each cache that Python workers keep from task to task, by name.
 CACHES: dict[str, Callable[[], None]] = {}
-#: Edges that a task contracts at once.
-CONTRACTED = 1_000_000
+#: Edges that a task contracts at once at most.
+CONTRACTED = 400_000
 #: Paths of the tables made in each of the running operators.
 _SCOPES: list[set[str]] = []
 
@@ -51,11 +54,13 @@ def scratch(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application.
+    """Sends this package to the executors' Python workers, once for each application, and bounds what they get at once.
 
     Functions in tasks are found by module name, so a worker must be able to import the package wherever it starts.
     """
     context = spark.sparkContext
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     if getattr(context, "_lakemill_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]
@@ -130,11 +135,24 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def only(name: str) -> None:
-    """In a worker: empties the caches of other operators, whose tasks may have run there before."""
-    for other, empty in CACHES.items():
-        if other != name:
-            empty()
+def task(name: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` as a worker does it: first the caches of other operators are emptied, at the end free memory is given back.
+
+    A worker stays for later tasks, and what it keeps is memory that the executor's other work does not get.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        for other, empty in CACHES.items():
+            if other != name:
+                empty()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def release(spark: SparkSession) -> None:
@@ -199,7 +217,7 @@ def hot_join(rows: DataFrame, told: DataFrame, key: list[str], n: str, *by: str,
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node of the edges that is not the smallest of its component, and that smallest one."""
+    """Each node of the edges that is not the smallest of its component, and that smallest one; numbers or bytes."""
     nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = np.split(inverse, 2)
     parent = np.arange(len(nodes))
@@ -214,32 +232,44 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[kept], nodes[parent[kept]]
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) of numbers with the same components: those that a task has, as stars."""
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges (u, v) with the same components: those that a task has, as stars, up to CONTRACTED at once."""
+    kind = dict(edges.dtypes)["u"]
+    arrow = pa.int64() if kind == "bigint" else pa.binary()
+
+    def array(batches: list[pa.RecordBatch], column: int) -> np.ndarray:
+        found = pa.chunked_array([b.column(column) for b in batches], arrow)
+        return found.to_numpy() if arrow == pa.int64() else np.array(found.to_pylist(), object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        done = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))], ["u", "v"])
+        held, rows = [], 0
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) > CONTRACTED:
-                yield done()
-                held = []
-        if held:
-            yield done()
+            rows += batch.num_rows
+            if rows > CONTRACTED:
+                yield stars(held)
+                held, rows = [], 0
+        if rows:
+            yield stars(held)
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, arrow) for x in forest(array(held, 0), array(held, 1))], ["u", "v"])
 
-    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+    return edges.select("u", "v").coalesce(tasks).mapInArrow(task("none", run), f"u {kind}, v {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): the smallest node that links reach.
 
-    Edges are contracted within each task first; then large and small stars alternate until no edge changes. Minima are aggregated before the shuffle and joined
+    Edges are contracted within each task first, which leaves some for each node and task at most. If those are few, a
+    task contracts them all; else large and small stars alternate until no edge changes. Minima are aggregated before the shuffle and joined
     back, so that a hub's edges can be split among tasks; each round ends in a table in the shared folder.
     """
-    if all(kind == "bigint" for _, kind in edges.dtypes):
-        edges = _contracted(edges.where("u <> v"))
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = _contracted(edges.where("u <> v"), max(edges.sparkSession.sparkContext.defaultParallelism, 2))
+    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if edges.count() <= CONTRACTED:  # few enough for one task, whatever they came from
+        found = cut(_contracted(edges, 1), "edges")
+        return found.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(found.select("v", "v").distinct())
     before = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -19,12 +19,16 @@ from lakemill.llm import common
 
 #: Sizes of sets go in bands, each at most this share of the next; it must be below the threshold.
 BAND = 0.75
+#: Parts that sets are cut into beyond those that must be, as a share of the shingles in which two that link may differ.
+MORE_PARTS = 0.3
+#: What stands in the place of a need for rows that connect sets within a task, and for signatures shared there.
+MEMBER, SHARED, LEAD = -1, -2, -3
 #: Signatures that a task merges at once.
 MERGED = 1_000_000
 #: Bits of the candidates' bitmap, 2 to this power.
 MAP_BITS = 23
 #: Shingles that one search task indexes at most, about; larger candidate groups are cut into chunks.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 #: Times that groups too large for one task are cut by other signatures before their chunks are paired.
 ROUNDS = 3
 #: Share of such groups that a round must leave over, at most, for another one to follow.
@@ -210,12 +214,13 @@ def search(sets: list[np.ndarray], percent: int, known: list | None = None) -> l
 
 
 class Signatures:
-    """Signatures of which two sets share one at least if they link.
+    """Signatures of which two sets share so many at least if they link.
 
     Sets that link differ in at most D = (n1 + n2) * (100 - percent) / (100 + percent) shingles. Cut by ranges of
-    the shingles' hashes into D + 1 + s parts, they agree in s + 1 parts or more, so one is left even if either set
-    leaves out its s / 2 smallest, which are the least telling. A signature stands for the content of one part.
-    D holds for all sizes of a band; pairs across two neighbouring bands have signatures of their own.
+    the shingles' hashes into P = D + 1 + s parts, they agree in P - D parts or more. A signature stands for the
+    content of one part; empty parts have none, so of its signatures a set shares at least P - D less its empty parts
+    with each set that links to it. Where that is nothing, as in some small sets, empty parts have one too. D holds for all sizes of a band; pairs across two neighbouring bands have
+    signatures of their own. So a set has up to three kinds: its band's, and those with the band above and below.
     """
 
     def __init__(self, percent: int):
@@ -226,36 +231,42 @@ class Signatures:
         self.plans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int] | None] = {}
 
     def plan(self, band: int, across: int) -> tuple[np.ndarray, np.ndarray, int] | None:
-        """Bounds of the parts, a number for each part, and how many parts a set leaves out; None if none can link."""
+        """Bounds of the parts, a number for each part, and how many two sets agree in; None if none can link."""
         if (band, across) not in self.plans:
             top = self.starts[band + 1] - 1
             most = (top + (top * 100 // self.percent if across else top)) * (100 - self.percent) // (100 + self.percent)
             if most:
-                left_out = max(1, round(0.1 * most))
-                parts = most + 1 + 2 * left_out
+                parts = most + 1 + math.ceil(MORE_PARTS * most)
                 bounds = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
                 names = _mix(np.arange(parts, dtype=np.uint64) + np.uint64((2 * band + across) << 32))
-                self.plans[band, across] = bounds, names, left_out
+                self.plans[band, across] = bounds, names, parts - most
             else:
                 self.plans[band, across] = None  # equal sets only, and those are one node
         return self.plans[band, across]
 
-    def of(self, h: np.ndarray) -> np.ndarray:
+    def kinds(self, h: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+        """For each kind 0 (band), 1 (and above), 2 (and below) of a sorted set: signatures, and how many a link needs."""
         n = len(h)
         band = bisect_right(self.starts, n) - 1
-        kinds = [(band, 0)]
+        kinds = [(0, band, 0)]
         if n * 100 // self.percent >= self.starts[band + 1]:
-            kinds.append((band, 1))
+            kinds.append((1, band, 1))
         if band and -(-n * self.percent // 100) < self.starts[band]:
-            kinds.append((band - 1, 1))
+            kinds.append((2, band - 1, 1))
         total, out = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h), dtype=np.uint64)]), []
-        for kind in kinds:
-            if plan := self.plan(*kind):
-                bounds, names, left_out = plan
+        for kind, *which in kinds:
+            if plan := self.plan(*which):
+                bounds, names, agree = plan
                 ends = np.concatenate([[0], np.searchsorted(h, bounds), [n]])
-                kept = np.argpartition(np.diff(ends), left_out)[left_out:]
-                out.append(_mix(total[ends[kept + 1]] - total[ends[kept]] + names[kept]))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+                full = np.flatnonzero(np.diff(ends))
+                need = agree - (len(names) - len(full))
+                if need <= 0:  # a small set, which may agree with another in empty parts only
+                    full, need = np.arange(len(names)), 0
+                out.append((kind, _mix(total[ends[full + 1]] - total[ends[full]] + names[full]), need))
+        return out
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint64), *(x for _, x, _ in self.kinds(h))])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -264,14 +275,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """(key, doc_id, n, node, short): the size and 128-bit digest of each row's set, and half of that as a number.
+    """(key, doc_id, n, node, short): the size and 128-bit digest of each row's set, and half of that but two bits as a number.
 
     Rows without words have no node. The result is a table in the shared folder.
     """
     names = ["key", "doc_id", "n", "node", "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("words")
         for batch in batches:
             n, nodes, shorts = [], [], []
             for raw in batch.column(2):
@@ -279,10 +289,10 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
                 node = xxhash.xxh3_128_digest(s) if len(s) else None
                 n.append(len(s))
                 nodes.append(node)
-                shorts.append(_short(node) if node else None)
+                shorts.append(_short(node) & -4 if node else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64())], names)
 
-    return common.cut(_texts(docs).mapInArrow(run, "key long, doc_id long, n long, node binary, short long"), "sets")
+    return common.cut(_texts(docs).mapInArrow(common.task("words", run), "key long, doc_id long, n long, node binary, short long"), "sets")
 
 
 def _short(node: bytes) -> int:
@@ -290,49 +300,76 @@ def _short(node: bytes) -> int:
 
 
 def signature_rows(docs: DataFrame, one: DataFrame, k: int, percent: int, salt: int) -> DataFrame:
-    """(signature, u): the signatures of the sets of ``one`` (key), each with a set that has it, once for each task.
+    """(signature, node, need): the signatures of the sets of ``one`` (key), each with a set of a kind that has it.
 
-    Signatures are merged within a task, so one of a very common set leaves a task once, however many sets there have
-    it. Sets that a task finds to share one are told by a row of their own each, for a signature that stands for the
-    first of them.
+    ``node`` is ``short`` with its last two bits replaced by the kind. A task sends a signature once, with the set
+    that shares most there, its lead, so one of a very common set leaves a task once, however many sets there have it.
+    The sets that share it with the lead have a row each for a signature that stands for the lead, with a ``need`` of
+    MEMBER or, the lead itself, LEAD; the signature's own row then has SHARED. One row for each set of a kind tells how many signatures it must share with
+    other tasks' sets to link to any; other rows have no need.
     """
     marked = docs.sparkSession.sparkContext.broadcast(bitmap(one))  # 2 ** MAP_BITS bits
 
-    def merged(signature: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((node, signature))
-        first = np.concatenate([[True], signature[order][1:] != signature[order][:-1]])[: len(signature)]
-        kept, sorted_node = np.sort(order[first]), node[order]  # in the order of nodes, which compresses
-        lead = sorted_node[first][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack([lead, sorted_node], axis=1)[sorted_node != lead], axis=0)
-        leads = np.unique(pairs[:, 0])
-        star = _mix(np.concatenate([pairs[:, 0], leads]).view(np.uint64) ^ np.uint64(1))
-        rows = [np.concatenate([signature[kept], star]).view(np.int64), np.concatenate([node[kept], pairs[:, 1], leads])]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["signature", "u"])
+    def merged(told: list[np.ndarray], ids: list[int], needs: list[int]) -> pa.RecordBatch:
+        signature = np.concatenate([np.empty(0, np.uint64), *told])
+        at = np.repeat(np.arange(len(told)), [len(x) for x in told])
+        order = np.argsort(signature, kind="stable")
+        signature, at = signature[order], at[order]
+        first = np.concatenate([[True], signature[1:] != signature[:-1]])[: len(signature)]
+        group = np.cumsum(first) - 1
+        common_to = np.bincount(group) if len(group) else np.empty(0, np.int64)
+        here = np.bincount(at[common_to[group] > 1], minlength=len(told))
+        order = np.lexsort((at, here[at], group))  # the last of each group is its lead
+        last = np.append(first[1:], True)[: len(signature)]
+        lead = at[order][last]
+        pairs = np.unique(np.stack([lead[group], at[order]], axis=1)[lead[group] != at[order]], axis=0)
+        leads, ids = np.unique(pairs[:, 0]), np.array(ids, np.int64)
+        star = lambda x: _mix(ids[x].view(np.uint64) ^ np.uint64(1 << 63))
+        by_lead = np.argsort(lead, kind="stable")  # equal nodes in a row compress
+        parts = [
+            (signature[first][by_lead], ids[lead][by_lead], SHARED),
+            (star(pairs[:, 0]), ids[pairs[:, 1]], MEMBER),
+            (star(leads), ids[leads], LEAD),
+            (_mix(ids.view(np.uint64)), ids, np.maximum(np.array(needs, np.int64) - here, 0)),
+        ]
+        alone = np.concatenate([common_to[by_lead] == 1, np.zeros(sum(len(x) for x, _, _ in parts[1:]), bool)])
+        need = pa.array(np.concatenate([np.broadcast_to(n, len(x)) for x, _, n in parts]).astype(np.int64), mask=alone)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _, _ in parts]).view(np.int64)), pa.array(np.concatenate([x for _, x, _ in parts])), need], ["signature", "node", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("words")
-        signatures, told, nodes, held = Signatures(percent), [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-        for _, ids, sets in _chosen(batches, marked.value, k):
-            for node, s in zip(ids, sets, strict=True):
-                told.append(signatures.of(np.sort(_mix(s ^ np.uint64(salt))) if salt else s))
-                nodes.append(np.full(len(told[-1]), _short(node)))
-                held += len(told[-1])
+        signatures, told, ids, needs, held = Signatures(percent), [], [], [], 0
+        for _, nodes, sets in _chosen(batches, marked.value, k):
+            for node, s in zip(nodes, sets, strict=True):
+                for kind, found, need in signatures.kinds(np.sort(_mix(s ^ np.uint64(salt))) if salt else s):
+                    told.append(found)
+                    ids.append(_short(node) & -4 | kind)
+                    needs.append(need)
+                    held += len(found)
                 if held > MERGED:
-                    yield merged(np.concatenate(told), np.concatenate(nodes))
-                    told, nodes, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-        yield merged(np.concatenate(told), np.concatenate(nodes))
+                    yield merged(told, ids, needs)
+                    told, ids, needs, held = [], [], [], 0
+        yield merged(told, ids, needs)
 
-    return _texts(docs).select("key", "text").mapInArrow(run, "signature long, u long")
+    return _texts(docs).select("key", "text").mapInArrow(common.task("words", run), "signature long, node long, need long")
 
 
 def candidates(docs: DataFrame, one: DataFrame, k: int, percent: int, salt: int = 0) -> DataFrame:
-    """(short, root): groups of the sets of ``one`` (key) that shared signatures connect.
+    """(short, root): groups of the sets of ``one`` (key) that may link; ``short`` without its last two bits.
 
-    Sets that link are in one group; sets that are alone are in none. Another ``salt`` makes other signatures.
+    A set that shares fewer signatures with all others together than a single link needs has no link, so it is in no
+    group: documents that have a common passage seldom share so many. Shared signatures connect the others; sets that
+    link are in one group. Another ``salt`` makes other signatures.
     """
-    told = signature_rows(docs, one, k, percent, salt).withColumn("v", F.min("u").over(W.partitionBy("signature")))
-    found = common.components(told.where("u <> v").select("u", "v"))
-    groups = common.cut(found.select(F.col("node").alias("short"), "root"), "groups")
+    told = signature_rows(docs, one, k, percent, salt).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("signature")))
+    told = common.cut(told.where("n > 1 OR need >= 0").drop("n"), "shared")
+    shared = F.count_if(F.col("need").isNull())
+    may = told.groupBy("node").agg(shared.alias("shared"), F.max(F.when(F.col("need") >= 0, F.col("need"))).alias("need"), (F.min("need") == LEAD).alias("lead"))
+    may = common.cut(may.withColumn("may", F.col("shared") >= F.col("need")).where("may OR lead").select("node", "may"), "may")
+    rows = told.where("need IS NULL OR need < 0").join(may.select("node"), "node").select("signature", (F.col("node").bitwiseAND(F.lit(-4))).alias("u"))
+    rows = rows.withColumn("v", F.min("u").over(W.partitionBy("signature")))
+    found = common.components(rows.where("u <> v").select("u", "v"))
+    sets = may.where("may").select((F.col("node").bitwiseAND(F.lit(-4))).alias("node")).distinct()
+    groups = common.cut(found.join(sets, "node").select(F.col("node").alias("short"), "root"), "groups")
     common.release(docs.sparkSession)
     return groups
 
@@ -348,12 +385,11 @@ def bitmap(keys: DataFrame) -> np.ndarray:
             bits[_place(batch.column(0).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], ["bits"])
 
-    return common.tree_merge(keys.select("key").mapInArrow(run, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
+    return common.tree_merge(keys.select("key").mapInArrow(common.task("words", run), "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, k: int) -> Iterator[tuple[list[int], list[bytes], list[np.ndarray]]]:
     """Keys, nodes and sets of the texts of (key, text) whose key is in the bitmap, some at a time."""
-    common.only("words")
     keys, nodes, sets, held = [], [], [], 0
     for batch in batches:
         place = _place(batch.column(0).to_numpy()).astype(np.int64)
@@ -393,7 +429,7 @@ def _found(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame
             out += [(nodes[i], nodes[f]) for i, f in enumerate(found) if sizes[f] > 1]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    members = _texts(docs).select("key", "text").mapInArrow(again, "key long, node binary, shingles binary")
+    members = _texts(docs).select("key", "text").mapInArrow(common.task("words", again), "key long, node binary, shingles binary")
     dealt = members.join(dealt, ["node", "key"]).select("task", "root", "part", "node", "known", "shingles")
     found = common.cut(dealt.groupBy("task").applyInPandas(run, "u binary, v binary"), "found")
     common.release(docs.sparkSession)
@@ -514,7 +550,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(bits[_place(batch.column(1).to_numpy())] == inside))
 
-        return keyed.mapInArrow(run, keyed.schema)
+        return keyed.mapInArrow(common.task("words", run), keyed.schema)
 
     # the row is one column until the join is done, so that no name of its own can clash
     stay = part(True).join(gone.select("gone"), F.col("doc.doc_id").cast("long") == F.col("gone"), "left_anti")

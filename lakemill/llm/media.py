@@ -110,7 +110,6 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("none")
         for batch in batches:
             out: list[tuple] = []
             held = 0
@@ -134,7 +133,7 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.task("none", run), SCHEMA)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

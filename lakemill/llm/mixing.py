@@ -116,7 +116,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: Sequence[int] = WEIGHTS, max_co
     Defined results are those of ``sample_counts``: null and empty texts are not taken unless their class's turn
     comes, repeated rows each count, an empty table gives no rows, and all columns stay, whatever their names.
     """
-    rows = common.cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix")
+    rows = common.cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix", compression="zstd")
     counted = sized(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), "row")
     taken = copies(counted, seed, weights, max_copies).where("copies > 0").select("row", "copies")
     return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -128,7 +128,6 @@ def tokenise(docs: DataFrame, vocabulary: str, window: int = WINDOW, id_col: str
     """Pieces of at most ``window`` ids: every full window of a document, then what is left."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("tokens")
         words, end, row = word_tokens(vocabulary), np.array([END_ID], "<u4").tobytes(), 0
         for batch in batches:
             out: list[tuple] = []
@@ -142,7 +141,7 @@ def tokenise(docs: DataFrame, vocabulary: str, window: int = WINDOW, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
+    return rows.mapInArrow(common.task("tokens", cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 @common.tidy

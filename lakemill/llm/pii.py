@@ -195,7 +195,7 @@ def sanitise(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     Defined results: a null text stays null and has no span; repeated rows each count as a document and stay; an
     empty table gives no rows; other columns stay as they are, whatever their names.
     """
-    kept = common.cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "texts")
+    kept = common.cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "texts", compression="zstd")
     found = spans(kept.select("row", F.coalesce("doc.text", F.lit("")).alias("text")), prior)
     by = F.when(F.col("kind") == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
     order = W.partitionBy("row").orderBy("start", "end", "by")
@@ -215,7 +215,7 @@ def sanitise(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(common.cut(numbered(common.table(spark, sf_dir, "documents")), "texts"))
+    found = find(common.cut(numbered(common.table(spark, sf_dir, "documents")), "texts", compression="zstd"))
     text = lambda k, c: F.transform(c, lambda s: F.concat_ws(":", F.lit(k) if k else s["kind"], s["start"], s["end"]))
     base = F.concat(*(text(k, k) for k in KINDS))
     return found.select(

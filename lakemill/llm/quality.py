@@ -94,7 +94,6 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     chosen = common.cut(chosen[0].unionAll(chosen[1]), "fit")  # 2 * fit_rows rows of three numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("none")
         for batch in batches:
             x = [features(raw.as_py() or b"") for raw in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "good", "draw", "x"])
@@ -102,7 +101,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(F.broadcast(chosen.select("doc_id", "good")), "doc_id").select("doc_id", "good", F.xxhash64("text").alias("draw"), "text")
     # of texts that share a doc_id, the one with the least hash is taken, so that reruns agree
-    found = rows.mapInArrow(run, "doc_id long, good int, draw long, x array<double>").groupBy("doc_id", "good").agg(F.min(F.struct("draw", "x")).alias("least"))
+    found = rows.mapInArrow(common.task("none", run), "doc_id long, good int, draw long, x array<double>").groupBy("doc_id", "good").agg(F.min(F.struct("draw", "x")).alias("least"))
     found = found.select("doc_id", "good", "least.x").toPandas().sort_values("doc_id")
     rate = min(max(counts.get(1, 0) / max(sum(counts.values()), 1), 0.01), 0.99) if counts else 0.5
     x = np.array(found["x"].tolist(), np.float64).reshape(len(found), len(FEATURES))
@@ -141,12 +140,11 @@ def _evidence(docs: DataFrame, classifier: Classifier, *keep: Column) -> DataFra
     kept = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("none")
         for batch in batches:
             x = np.array([features(raw.as_py() or b"") for raw in batch.column(batch.num_columns - 1)], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(c.evidence(x), pa.float64())], [*batch.schema.names[:-1], "evidence"])
 
-    return kept.mapInArrow(run, kept.drop("__text").withColumn("evidence", F.lit(0.0)).schema)
+    return kept.mapInArrow(common.task("none", run), kept.drop("__text").withColumn("evidence", F.lit(0.0)).schema)
 
 
 KEY = ("host", "no_host", "path", "no_path")

@@ -77,7 +77,6 @@ def repeated_anchors(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -
     sure = length - window_of(length, gram) + 1
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("words")
         out, held = [np.empty(0, np.uint64)], 0
         done = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["anchor"])
         for batch in batches:
@@ -92,7 +91,7 @@ def repeated_anchors(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -
                     out, held = [np.empty(0, np.uint64)], 0
         yield done()
 
-    keys = _texts(docs).select("text").mapInArrow(select, "anchor long")
+    keys = _texts(docs).select("text").mapInArrow(common.task("words", select), "anchor long")
     return bitmap(keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
 
 
@@ -103,7 +102,7 @@ def bitmap(anchors: DataFrame) -> np.ndarray:
             bits[_place(batch.column(0).to_numpy().view(np.uint64))] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], ["bits"])
 
-    return common.tree_merge(anchors.mapInArrow(mark, "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
+    return common.tree_merge(anchors.mapInArrow(common.task("words", mark), "bits binary"), "u1", (1 << MAP_BITS) // 8, np.bitwise_or)
 
 
 def _place(anchor: np.ndarray) -> np.ndarray:
@@ -122,7 +121,6 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
     sure, names = length - window_of(length, gram) + 1, ["anchor", "block", "row", "doc_id", "at", "runs", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("words")
         bits = shared.value
         cols: list[list] = [[] for _ in names]
         held = 0
@@ -157,7 +155,7 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
                     cols, held = [[] for _ in names], 0
         yield done()
 
-    return _texts(docs).mapInArrow(run, "anchor long, block long, row long, doc_id long, at long, runs long, hashes array<long>")
+    return _texts(docs).mapInArrow(common.task("words", run), "anchor long, block long, row long, doc_id long, at long, runs long, hashes array<long>")
 
 
 def neighbours(runs: DataFrame) -> DataFrame:
@@ -222,7 +220,7 @@ def _ranges(matched: DataFrame) -> DataFrame:
             own = [batch.column(c).take(pa.array(row)) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(first), pa.array(start), pa.array(end)], ["row", "doc_id", "first", "at", "end"])
 
-    return matched.select("row", "doc_id", "at", "repeated", "earliest").mapInArrow(run, "row long, doc_id long, first boolean, at long, end long")
+    return matched.select("row", "doc_id", "at", "repeated", "earliest").mapInArrow(common.task("words", run), "row long, doc_id long, first boolean, at long, end long")
 
 
 @common.tidy

@@ -168,7 +168,7 @@ def _parsed(turns: DataFrame) -> DataFrame:
 
     rows = turns.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     schema = "row long, conv_id string, turn long, role string, kind string, pos int, id string, name string, body string, refs array<string>, error string"
-    return common.cut(rows.mapInArrow(run, schema), "parsed")
+    return common.cut(rows.mapInArrow(common.task("none", run), schema), "parsed")
 
 
 def ordered(needs: list[tuple[str, str]]) -> dict[str, int]:
@@ -237,7 +237,7 @@ def _violations(calls: DataFrame) -> DataFrame:
                 told.append(None if schema is None or body is None else violation(body, schema))
             yield batch.append_column("violation", pa.array(told, pa.string()))
 
-    return calls.mapInArrow(run, calls.withColumn("violation", F.lit(None).cast("string")).schema)
+    return calls.mapInArrow(common.task("none", run), calls.withColumn("violation", F.lit(None).cast("string")).schema)
 
 
 def _first(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -325,7 +325,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
                 out.append(f'{{"content":{canonical(content)},"role":{canonical(role)}' + (f',"tool_calls":[{",".join(calls)}]}}' if calls else "}"))
             yield batch.append_column("message", pa.array(out, pa.string()))
 
-    made = rows.mapInArrow(run, rows.withColumn("message", F.lit("")).schema)
+    made = rows.mapInArrow(common.task("none", run), rows.withColumn("message", F.lit("")).schema)
     of = lambda cond: F.coalesce(F.size(F.filter("calls", cond)), F.lit(0)).cast("long")
     return made.select(
         "conv_id", "turn", "role",

@@ -100,7 +100,7 @@ def _histograms(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, low: np.n
         q, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[q, b])], ["q", "bin", "n"])
 
-    counts = rows.mapInArrow(count, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(common.task("none", count), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
     out = {}
     for q, bins, n in counts.groupBy("q").agg(F.collect_list("bin"), F.collect_list("n")).toLocalIterator():
         out[q] = np.zeros(BINS, np.int64)
@@ -196,7 +196,7 @@ def _best(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, edge: np.ndarra
         yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "digits"])
 
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("digits").desc(), "vec_id")
-    found = rows.mapInArrow(keep, "query_id long, vec_id long, score long, digits string")
+    found = rows.mapInArrow(common.task("none", keep), "query_id long, vec_id long, score long, digits string")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -157,13 +157,12 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **how: i
     chosen = common.cut(chosen[0].unionAll(chosen[1]), "fit")  # 2 * fit_rows rows of three numbers at most
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only("terms")
         for batch in batches:
             sets = [sorted(hashed(x.as_py())) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "toxic", "draw", "terms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
-    found = rows.select("doc_id", "toxic", F.xxhash64("text").alias("draw"), "text").mapInArrow(terms, "doc_id long, toxic int, draw long, terms array<int>")
+    found = rows.select("doc_id", "toxic", F.xxhash64("text").alias("draw"), "text").mapInArrow(common.task("terms", terms), "doc_id long, toxic int, draw long, terms array<int>")
     # of texts that share a doc_id, the one with the least hash is taken, so that reruns agree
     found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct("draw", "terms")).alias("least")).select("doc_id", "toxic", "least.terms")
     found = found.toArrow().combine_chunks().sort_by("doc_id")
@@ -182,7 +181,6 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     shared = spark.sparkContext.broadcast((machine.terms, machine.bias, machine.weight, machine.factor))  # at most TERMS + PAIR_TERMS of each
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common.only("terms")
         model = Machine(*shared.value)
         kept = model.terms
         wanted = set(kept.tolist())
@@ -205,7 +203,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
                 yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "score": p, "predicted": (p >= threshold).astype(np.int32)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInPandas(common.task("terms", run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,7 @@ def test_linked_sets_share_as_many_signatures_as_a_link_needs():
     for percent in (60, 80, 90):
         signatures = jaccard.Signatures(percent)
         for n in [*range(2, 60), 90, 250, 700]:
-            for _ in range(4):
+            for _ in range(4 if n > 20 else 200):
                 a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * 2)
                 most = len(a) * (100 - percent) // percent
                 b = np.unique(np.concatenate([a[rng.permutation(len(a))[: max(1, -(-len(a) * percent // 100))]], rng.integers(0, 1 << 63, rng.integers(0, most + 1), dtype=np.uint64) * 2]))
@@ -224,6 +224,22 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [5, 400_000])
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_are_those_of_a_plain_walk(spark, monkeypatch, most, kind):
+    monkeypatch.setattr(common, "CONTRACTED", most)
+    rng = random.Random(most)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(25)]
+    name = (lambda x: x) if kind == "long" else lambda x: x.to_bytes(2, "big") + b"\0"
+    found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"u {kind}, v {kind}").repartition(4)).collect()}
+    reach = {}
+    for a, b in edges:
+        if a != b:
+            both = reach.get(a, {a}) | reach.get(b, {b})
+            reach |= dict.fromkeys(both, both)
+    assert {name(a): name(min(both)) for a, both in reach.items()} == {bytes(k) if kind == "binary" else k: bytes(v) if kind == "binary" else v for k, v in found.items()}
+
+
 def test_components_follow_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7)], "u long, v long")
     found = {r["node"]: r["root"] for r in common.components(edges).collect()}
@@ -401,6 +417,15 @@ def test_media_query_stores_files_and_fingerprints(spark, tmp_path):
         assert r["fingerprint_times"] == at.tolist() and r["fingerprint_codes"] == codes.tolist()
 
 
+@pytest.mark.parametrize(("k", "percent", "seed"), [(1, 60, 1), (1, 80, 2), (2, 70, 3)])
+def test_links_of_small_sets(spark, k, percent, seed):
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.sample(words[:8] if i % 2 else words, rng.randrange(1, 8)))) for i in range(400)]
+    found = jaccard.near_duplicates(frame(spark, rows).repartition(4), k, percent)
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_components(rows, k, percent)
+
+
 @pytest.mark.parametrize("block", [40, 200])
 def test_large_groups_lose_no_link(spark, block):
     """A cluster far over a block, with sets that link to a few of its members only, and a chain."""
