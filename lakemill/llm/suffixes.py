@@ -23,6 +23,8 @@ MAP_BITS = 24
 BLOCK = 1 << 16
 #: Bytes of results that a task holds before it hands them on, about.
 HELD = 8_000_000
+#: Blocks that a task remembers to have told, about.
+SEEN = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -113,7 +115,8 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
     """(anchor, block, row, doc_id, at, runs, hashes): the suffixes at minimisers whose beginnings the corpus repeats.
 
     ``anchor`` stands for the words that follow a selected place in every run that selects it. From ``at`` on there
-    are ``runs`` such runs: ``hashes`` has the content of each, ``block`` of them all. A repeated run has its place at
+    are ``runs`` such runs: ``hashes`` has the content of each, ``block`` of them all. A task tells the runs of a block
+    once; where it has not forgotten that, its other suffixes of that block have no ``hashes``. A repeated run has its place at
     the same word in each copy, so it is kept with all its copies; a suffix that begins like no other is dropped in
     its task.
     """
@@ -122,14 +125,14 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        cols: list[list] = [[] for _ in names]
-        held = 0
+        cols: list[list] = [[] for _ in range(8)]
+        held, told = 0, set()  # blocks whose runs this task has told
 
         def done() -> pa.RecordBatch:
             flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in cols[:3] + cols[4:]]
             arrays = [pa.array(x.view(np.int64)) for x in flat[:3]] + [pa.array(cols[3], pa.int64())] + [pa.array(x.view(np.int64)) for x in flat[3:5]]
-            ends = np.concatenate([[0], np.cumsum(flat[4])]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[5].view(np.int64)))], names)
+            ends = np.concatenate([[0], np.cumsum(flat[5])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[6].view(np.int64)))], names)
 
         for batch in batches:
             for row, doc, raw in zip(*batch.columns, strict=True):
@@ -145,14 +148,20 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
                     continue
                 key, first, end = key[kept], first[kept], end[kept]
                 runs = end - first
-                inside = np.arange(runs.sum()) + np.repeat(first - np.cumsum(runs) + runs, runs)
                 block = _mix(_mix(content[first]) + content[end - 1] + runs.astype(np.uint64))
-                for col, x in zip(cols, (key, block, np.full(len(kept), row.as_py()), [doc.as_py()] * len(kept), first, runs, content[inside]), strict=True):
+                mine = block.tolist()
+                new = np.fromiter((x not in told for x in mine), bool, len(block))
+                if len(told) > SEEN:
+                    told.clear()
+                told.update(mine)
+                shown = np.where(new, runs, 0)
+                inside = np.arange(shown.sum()) + np.repeat(first - np.cumsum(shown) + shown, shown)
+                for col, x in zip(cols, (key, block, np.full(len(kept), row.as_py()), [doc.as_py()] * len(kept), first, runs, shown, content[inside]), strict=True):
                     col.extend(x) if isinstance(x, list) else col.append(x)
                 held += 48 * len(kept) + 8 * len(inside)
                 if held > HELD:
                     yield done()
-                    cols, held = [[] for _ in names], 0
+                    cols, held = [[] for _ in range(8)], 0
         yield done()
 
     return _texts(docs).mapInArrow(common.task("words", run), "anchor long, block long, row long, doc_id long, at long, runs long, hashes array<long>")
@@ -182,19 +191,19 @@ def _matches(found: DataFrame) -> DataFrame:
     only, that decides; else each run of one suffix of each kind is compared with its neighbours. So no step gathers
     the copies of a common passage, nor the suffixes that begin with it.
     """
-    blocks = found.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("least"), F.first("runs").alias("runs"))
-    blocks = common.cut(blocks.select("anchor", "block", "n", "least.doc_id", "least.row", "least.at", "runs"), "blocks")
+    blocks = found.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("least"), F.first("runs").alias("runs"), F.min(F.when(F.size("hashes") > 0, F.struct("row", "at"))).alias("told"))
+    blocks = common.cut(blocks.select("anchor", "block", "n", "least.doc_id", "least.row", "least.at", "runs", "told"), "blocks")
     common.release(found.sparkSession)
     several = common.bit_table(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"))
     blocks = common.maybe_in(blocks, F.col("anchor"), several, "several")
     bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} AS INT))")
     alike = blocks.where("NOT several AND n > 1").withColumn("repeated", bit("runs") - 1)
     alike = alike.select("anchor", "block", "n", "row", "at", "repeated", F.col("repeated").alias("earliest"))
-    kinds = common.cut(blocks.where("several").select("anchor", "block", "n", "row", "at"), "kinds")
-    place = F.xxhash64("row", "at")
-    marked = common.bit_table(kinds.select(place))
-    one = common.maybe_in(found.select("row", "doc_id", "at", "hashes"), place, marked, "marked").where("marked").drop("marked")
-    runs = one.join(kinds, ["row", "at"]).select("anchor", "block", "n", "doc_id", "row", "at", F.posexplode("hashes").alias("offset", "hash"))
+    kinds = common.cut(blocks.where("several").select("anchor", "block", "n", "doc_id", "row", "at", "told"), "kinds")
+    marked = common.bit_table(kinds.select(F.xxhash64("told.row", "told.at")))
+    one = found.where(F.size("hashes") > 0).select(F.struct("row", "at").alias("told"), "hashes")
+    one = common.maybe_in(one, F.xxhash64("told.row", "told.at"), marked, "marked").where("marked").drop("marked")
+    runs = one.join(kinds, "told").select("anchor", "block", "n", "doc_id", "row", "at", F.posexplode("hashes").alias("offset", "hash"))
     runs = neighbours(runs.withColumn("place", F.col("at") + F.col("offset")))
     common.release(found.sparkSession)
     opens = F.coalesce(F.col("before") != F.col("hash"), F.lit(True))
@@ -244,9 +253,11 @@ def repeats(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFra
     found = common.cut(suffixes(docs, length, gram), "suffixes")
     common.release(docs.sparkSession)
     masks = _matches(found)
+    places = common.cut(found.select("anchor", "block", "row", "doc_id", "at"), "places")  # the runs' contents are no longer needed
+    common.drop(found)
     common.release(docs.sparkSession)
     told = masks.select("anchor", "block", "n", F.col("row").alias("least_row"), F.col("at").alias("least_at"), "repeated", "earliest")
-    dealt = common.hot_join(found.select("anchor", "block", "row", "doc_id", "at"), told, ["anchor", "block"], "n", "row", "at")
+    dealt = common.hot_join(places, told, ["anchor", "block"], "n", "row", "at")
     mine = (F.col("row") == F.col("least_row")) & (F.col("at") == F.col("least_at"))
     matched = dealt.withColumn("earliest", F.when(mine, F.col("earliest")).otherwise(F.lit(0).cast("long")))
     by_place = W.partitionBy("row", "first").orderBy("at")
