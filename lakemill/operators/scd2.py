@@ -70,9 +70,12 @@ def as_of_strict(facts: DataFrame, dimension: DataFrame, key: str, day: str, att
 
 
 def with_fallback(facts: DataFrame, dimension: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
-    """Facts that no version held for take the key's earliest one, and say so in ``{key}_is_estimated``."""
+    """Facts that no version held for take the key's earliest one, and say so in ``{key}_is_estimated``.
+
+    Of two that start on one day the earliest is the one that ended first: a seed that a change replaced on its own day.
+    """
     cols = [f"{key}_sk", *attributes]
-    first = dimension.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*cols), "effective_start_date").alias("__first"))
+    first = dimension.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*cols), F.struct("effective_start_date", "effective_end_date")).alias("__first"))
     joined = facts.join(first, F.col(key) == F.col("__key"), "left")
     estimated = F.col(f"{key}_sk").isNull() & F.col("__first").isNotNull()
     filled = {c: F.coalesce(F.col(c), F.col(f"__first.{c}")) for c in cols}

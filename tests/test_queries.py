@@ -47,3 +47,26 @@ def test_entry_points():
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def same_day(tmp_path_factory):
+    """Customers whose first change comes on the day that their seed starts, and orders from before that day."""
+    folder = str(tmp_path_factory.mktemp("same_day"))
+    con = duckdb.connect()
+    changed = {"customer": "c_custkey + 200 AS c_custkey", "orders": "o_custkey % 150 + 200 AS o_custkey", "events": "214 + event_id % 30 AS user_id, TIMESTAMP '2024-01-01 08:00:00' + to_days(CAST(event_id % 30 + event_id // 300 AS INTEGER)) AS ts"}
+    for name in ("customer", "orders", "events", "part", "supplier"):
+        replaced = f" REPLACE ({changed[name]})" if name in changed else ""
+        con.execute(f"COPY (SELECT *{replaced} FROM '{SF_DIR}/{name}.parquet') TO '{folder}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["pit_fact_full"])
+def test_earliest_version_of_two_that_start_on_one_day(spark, same_day, name):
+    folder, con = same_day
+    found = QUERIES[name](spark, folder)
+    told = con.execute(ORACLES[name])
+    names = [x[0] for x in told.description]
+    expected = sorted(tuple(map(plain, row)) for row in told.fetchall())
+    assert sorted(tuple(plain(row[c]) for c in names) for row in found.collect()) == expected
