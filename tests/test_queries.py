@@ -62,7 +62,7 @@ def same_day(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["pit_fact_full", "fact_quarantine"])
+@pytest.mark.parametrize("name", ["pit_fact_full", "fact_quarantine", "fact_segment_sales"])
 def test_earliest_version_of_two_that_start_on_one_day(spark, same_day, name):
     folder, con = same_day
     found = QUERIES[name](spark, folder)
