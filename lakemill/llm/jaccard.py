@@ -29,12 +29,14 @@ MERGED = 1_000_000
 MAP_BITS = 23
 #: Shingles that one search task indexes at most, about; larger candidate groups are cut into chunks.
 BLOCK_SHINGLES = 250_000
-#: Times that groups too large for one task are cut by other signatures before their chunks are paired.
+#: Times that groups too large for one task are cut by their rare shingles before their chunks are paired.
 ROUNDS = 3
 #: Share of such groups that a round must leave over, at most, for another one to follow.
 WORTH = 0.7
 #: Sets of such a group that are searched with each of its chunks, so that most of a true cluster is found at once.
 LEADERS = 8
+#: Shingles that one batch of search tasks is sent, as a share of those of all sets, and at least.
+SENT_SHARE, SENT_LEAST = 0.5, 4_000_000
 #: Small candidate groups are put together into tasks of about this share of a block.
 TASK_SHARE = 4
 #: Bytes of results that a task holds before it hands them on, about.
@@ -299,7 +301,7 @@ def _short(node: bytes) -> int:
     return int.from_bytes(node[:8], "little", signed=True)
 
 
-def signature_rows(docs: DataFrame, one: DataFrame, k: int, percent: int, salt: int) -> DataFrame:
+def signature_rows(docs: DataFrame, one: DataFrame, k: int, percent: int) -> DataFrame:
     """(signature, node, need): the signatures of the sets of ``one`` (key), each with a set of a kind that has it.
 
     ``node`` is ``short`` with its last two bits replaced by the kind. A task sends a signature once, with the set
@@ -340,7 +342,7 @@ def signature_rows(docs: DataFrame, one: DataFrame, k: int, percent: int, salt:
         signatures, told, ids, needs, held = Signatures(percent), [], [], [], 0
         for _, nodes, sets in _chosen(batches, marked.value, k):
             for node, s in zip(nodes, sets, strict=True):
-                for kind, found, need in signatures.kinds(np.sort(_mix(s ^ np.uint64(salt))) if salt else s):
+                for kind, found, need in signatures.kinds(s):
                     told.append(found)
                     ids.append(_short(node) & -4 | kind)
                     needs.append(need)
@@ -353,15 +355,16 @@ def signature_rows(docs: DataFrame, one: DataFrame, k: int, percent: int, salt:
     return _texts(docs).select("key", "text").mapInArrow(common.task("words", run), "signature long, node long, need long")
 
 
-def candidates(docs: DataFrame, one: DataFrame, k: int, percent: int, salt: int = 0) -> DataFrame:
+def candidates(docs: DataFrame, one: DataFrame, k: int, percent: int) -> DataFrame:
     """(short, root): groups of the sets of ``one`` (key) that may link; ``short`` without its last two bits.
 
     A set that shares fewer signatures with all others together than a single link needs has no link, so it is in no
     group: documents that have a common passage seldom share so many. Shared signatures connect the others; sets that
-    link are in one group. Another ``salt`` makes other signatures.
+    link are in one group.
     """
-    told = signature_rows(docs, one, k, percent, salt).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("signature")))
+    told = signature_rows(docs, one, k, percent).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("signature")))
     told = common.cut(told.where("n > 1 OR need >= 0").drop("n"), "shared")
+    common.release(docs.sparkSession)  # the largest shuffle of all
     shared = F.count_if(F.col("need").isNull())
     may = told.groupBy("node").agg(shared.alias("shared"), F.max(F.when(F.col("need") >= 0, F.col("need"))).alias("need"), (F.min("need") == LEAD).alias("lead"))
     may = common.cut(may.withColumn("may", F.col("shared") >= F.col("need")).where("may OR lead").select("node", "may"), "may")
@@ -407,18 +410,26 @@ def _chosen(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, k: int) -> It
     yield keys, nodes, sets
 
 
-def _found(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v): the links, as each set with the first that it reaches, within each (root, part) of ``dealt``.
-
-    ``dealt`` (node, key, task, root, part, known) names the sets that a task searches, one document for each, with
-    what connects some of them beforehand. Shingles are made once more, of those documents only.
-    """
-    marked = docs.sparkSession.sparkContext.broadcast(bitmap(dealt))  # 2 ** MAP_BITS bits
+def _members(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(key, node, shingles): the sets of the documents of ``chosen`` (key), made once more, and of few others."""
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(chosen))  # 2 ** MAP_BITS bits
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, nodes, sets in _chosen(batches, marked.value, k):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "node", "shingles"])
 
+    return _texts(docs).select("key", "text").mapInArrow(common.task("words", again), "key long, node binary, shingles binary")
+
+
+def _found(docs: DataFrame, dealt: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """(u, v): the links, as each set with the first that it reaches, within each (root, part) of ``dealt``.
+
+    ``dealt`` (node, key, task, root, part, n, known) names the sets that a task searches, one document for each, with
+    what connects some of them beforehand. Shingles are made once more, of those documents only. A set may go to many
+    tasks, so these run in batches that are sent about ``most`` shingles each, and a batch's shuffle is released
+    before the next one's is written: what is on disk at once does not grow with the number of pairs of chunks.
+    """
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in frame.groupby(["root", "part"]):
@@ -429,23 +440,67 @@ def _found(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame
             out += [(nodes[i], nodes[f]) for i, f in enumerate(found) if sizes[f] > 1]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    members = _texts(docs).select("key", "text").mapInArrow(common.task("words", again), "key long, node binary, shingles binary")
-    dealt = members.join(dealt, ["node", "key"]).select("task", "root", "part", "node", "known", "shingles")
-    found = common.cut(dealt.groupBy("task").applyInPandas(run, "u binary, v binary"), "found")
-    common.release(docs.sparkSession)
+    batches = max(1, math.ceil((dealt.agg(F.sum("n")).first()[0] or 0) / most))
+    members = _members(docs, dealt, k)
+    if batches > 1:
+        members = common.cut(members, "members")
+    found = None
+    for i in range(batches):
+        batch = dealt.where(F.pmod(F.xxhash64("task", F.lit(3)), F.lit(batches)) == i) if batches > 1 else dealt
+        sent = members.join(batch, ["node", "key"]).select("task", "root", "part", "node", "known", "shingles")
+        now = common.cut(sent.groupBy("task").applyInPandas(run, "u binary, v binary"), "found")
+        found = found.unionAll(now) if found else now
+        common.release(docs.sparkSession)
+    if batches > 1:
+        common.drop(members)
     return found
 
 
+def narrowed(docs: DataFrame, part: DataFrame, k: int, percent: int) -> DataFrame:
+    """(short, root): the sets of ``part`` (node, short, key, root, n) that may link to others of their root, in smaller groups.
+
+    A set that links shares at least T = ceil(n * percent / 100) shingles with its partner. In one order of all the
+    root's shingles, rarest first, the first one that both have comes before T - 1 others that both have; so two sets
+    that link have a shingle in common that is not among the last T - 1 of either. Only those before connect sets; one
+    whose shingles before are all its own is in no group. What sets have from common passages comes last in that order,
+    so unlike signatures it connects only sets that hold little else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, root, short, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            own = np.frombuffer(b"".join(raw), "<u8") ^ np.repeat(_mix(root.view(np.uint64)), n)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(short, n)), pa.array(np.repeat(n, n))], ["shingle", "u", "n"])
+
+    sets = _members(docs, part, k).join(part, ["node", "key"]).select("shingles", "root", "short", "n")
+    rows = common.cut(sets.mapInArrow(common.task("words", run), "shingle long, u long, n long"), "grams")
+    common.release(docs.sparkSession)
+    often = common.cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "often")
+    shared = common.hot_join(rows, often, ["shingle"], "sets", "u")
+    rank = F.row_number().over(W.partitionBy("u").orderBy("sets", "shingle"))
+    shared = shared.withColumns({"rank": rank, "shared": F.count(F.lit(1)).over(W.partitionBy("u"))})
+    before = F.col("shared") + 1 - F.ceil(F.col("n") * percent / 100)
+    early = common.cut(shared.where(F.col("rank") <= before).select("shingle", "u"), "early")
+    common.drop(rows)
+    common.drop(often)
+    common.release(docs.sparkSession)
+    least = common.cut(early.groupBy("shingle").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("sets")).where("sets > 1"), "least")
+    found = common.components(common.hot_join(early, least, ["shingle"], "sets", "u").where("u <> v").select("u", "v"))
+    groups = common.cut(found.select(F.col("node").alias("short"), "root"), "groups")
+    common.release(docs.sparkSession)
+    return groups
+
+
 def _grouped(docs: DataFrame, nodes: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """(node, short, key, root, n): ``nodes`` (node, short, key, n) that may link, by candidate group.
 
-    Groups too large for one task are cut by other signatures: sets that link share one whatever the parts, while sets
-    that common passages have chained by chance seldom meet again. That ends once it cuts little, as true clusters stay.
+    Groups too large for one task, mostly sets that common passages have chained by chance, are cut by their rare
+    shingles, which are counted anew within the groups of each round. That ends once it cuts little, as true clusters stay.
     """
     groups = candidates(docs, nodes, k, percent)
     one = common.cut(nodes.join(groups, "short").select("node", "short", "key", "root", "n"), "candidates")
     before = None
-    for salt in range(1, ROUNDS + 1):
+    for _ in range(ROUNDS):
         sizes = one.groupBy("root").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where(F.col("size") > block)
         large = common.cut(sizes, "large")
         now = large.agg(F.sum("size")).first()[0]
@@ -453,7 +508,7 @@ def _grouped(docs: DataFrame, nodes: DataFrame, k: int, percent: int, block: int
             break
         before = now
         part = common.cut(common.hot_join(one, large, ["root"], "sets", "node").select(*one.columns), "part")
-        again = candidates(docs, part, k, percent, salt).withColumnRenamed("root", "other")
+        again = narrowed(docs, part, k, percent).withColumnRenamed("root", "other")
         part = part.join(again, "short").withColumn("root", F.xxhash64("root", "other")).select(*one.columns)
         rest = one.join(large.select("root"), "root", "left_anti").select(*one.columns)
         one = common.cut(rest.unionByName(part), "candidates")
@@ -473,15 +528,16 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, block: int =
     chunks = one.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("chunks"), F.count(F.lit(1)).alias("sets"))
     one = common.cut(common.hot_join(one, common.cut(chunks, "chunks"), ["root"], "sets", "node"), "chunked")
     some = one.agg(F.sum("n"), F.max("chunks")).first()
+    most = max(SENT_LEAST, int(SENT_SHARE * (nodes.agg(F.sum("n")).first()[0] or 0)))
     tasks = max(1, math.ceil((some[0] or 0) * TASK_SHARE / block))
     task = F.when(F.col("chunks") > 1, F.xxhash64("root", "part")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks)))
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    columns = ["node", "key", "task", "root", "part", "known"]
+    columns = ["node", "key", "task", "root", "part", "n", "known"]
     unknown = lambda df: df.withColumns({"task": task, "known": F.col("node")}).select(*columns)
     large = one.where("chunks > 1")
-    led = large.groupBy("root", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS))).agg(F.min(F.struct("node", "key")).alias("lead"), F.first("chunks").alias("chunks"))
-    led = led.select("lead.node", "lead.key", "root", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
-    found = _found(docs, common.cut(unknown(one.withColumn("part", own)).unionByName(unknown(led)), "dealt"), k, percent)
+    led = large.groupBy("root", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS))).agg(F.min(F.struct("node", "key", "n")).alias("lead"), F.first("chunks").alias("chunks"))
+    led = led.select("lead.node", "lead.key", "lead.n", "root", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
+    found = _found(docs, common.cut(unknown(one.withColumn("part", own)).unionByName(unknown(led)), "dealt"), k, percent, most)
     if (some[1] or 1) == 1:
         return found.select(F.col("u").alias("node"), F.col("v").alias("root"))
     labels = common.components(found)
@@ -500,8 +556,8 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, block: int =
     ask = F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks"))
     asked = large.withColumn("ask", each("asks")).withColumn("part", F.col("ask") * F.col("chunks") + own)
     asks = large.where("known <> main").withColumn("chunk", each("chunks")).withColumn("part", ask * F.col("chunks") + F.col("chunk"))
-    dealt = asked.select("node", "key", "root", "part", "known").unionByName(asks.select("node", "key", "root", "part", "known"))
-    more = _found(docs, common.cut(dealt.withColumn("task", F.xxhash64("root", "part")).select(*columns), "dealt"), k, percent)
+    dealt = asked.select("node", "key", "root", "part", "n", "known").unionByName(asks.select("node", "key", "root", "part", "n", "known"))
+    more = _found(docs, common.cut(dealt.withColumn("task", F.xxhash64("root", "part")).select(*columns), "dealt"), k, percent, most)
     return common.components(found.unionByName(more))
 
 

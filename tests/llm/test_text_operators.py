@@ -438,6 +438,33 @@ def test_large_groups_lose_no_link(spark, block):
     assert sorted(map(tuple, found.collect()), key=repr) == brute_components(rows, 1, 90)
 
 
+def test_rare_shingles_cut_what_common_passages_chain(spark):
+    """Documents of four common passages and some words of their own are chained; only copies of them link."""
+    rng = random.Random(11)
+    passages = [" ".join(f"p{i}x{j}" for j in range(60)) for i in range(12)]
+    rows = [(i, " ".join([*rng.sample(passages, 4), *(f"u{i}x{j}" for j in range(75))])) for i in range(120)]
+    rows += [(200 + i, f"{rows[i][1]} more") for i in range(10)]
+    docs = frame(spark, rows).repartition(3)
+    sets = jaccard.set_table(docs, 5)
+    nodes = sets.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("short").alias("short"))
+    assert jaccard._grouped(docs, nodes, 5, 80, 2000).count() == 20
+    found = jaccard.near_duplicates(docs, 5, 80, 2000)
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_components(rows, 5, 80)
+
+
+def test_chunks_searched_in_batches_lose_no_link(spark, monkeypatch):
+    """Sets of a large group go to many tasks; a batch of tasks is sent a share of the corpus, not every pair of chunks."""
+    rng = random.Random(12)
+    rows = [(i, " ".join([*(f"v{j}" for j in range(30)), *(f"x{i // 3}y{j}" for j in range(10 + i % 3))])) for i in range(90)]
+    rows += [(100 + i, " ".join([*(f"v{j}" for j in range(29)), f"z{rng.randrange(20)}"])) for i in range(40)]
+    monkeypatch.setattr(jaccard, "SENT_LEAST", 500)
+    sent, cut = [], jaccard.common.cut
+    monkeypatch.setattr(jaccard.common, "cut", lambda df, name, **how: (sent.append(name), cut(df, name, **how))[1])
+    found = jaccard.near_duplicates(frame(spark, rows).repartition(3), 1, 90, 200)
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_components(rows, 1, 90)
+    assert sent.count("found") > 2 and "members" in sent
+
+
 def test_keep_first_keeps_columns_of_any_name(spark):
     rows = frame(spark, [(5, "a b c d e f g"), (3, "a b c d e f g")]).withColumns({c: F.lit("x") for c in ("gone", "__gone", "key", "doc", "node")})
     kept = jaccard.keep_first(rows)
