@@ -37,6 +37,8 @@ WORTH = 0.7
 LEADERS = 8
 #: Shingles that one batch of search tasks is sent, as a share of those of all sets, and at least.
 SENT_SHARE, SENT_LEAST = 0.5, 4_000_000
+#: Sets whose shingles become rows at once.
+SENT_ROWS = 100
 #: Small candidate groups are put together into tasks of about this share of a block.
 TASK_SHARE = 4
 #: Bytes of results that a task holds before it hands them on, about.
@@ -468,15 +470,16 @@ def narrowed(docs: DataFrame, part: DataFrame, k: int, percent: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, root, short, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            own = np.frombuffer(b"".join(raw), "<u8") ^ np.repeat(_mix(root.view(np.uint64)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(short, n)), pa.array(np.repeat(n, n))], ["shingle", "u", "n"])
+            for at in range(0, batch.num_rows, SENT_ROWS):
+                raw, root, short, n = (x.to_numpy(zero_copy_only=False) for x in batch.slice(at, SENT_ROWS).columns)
+                own = np.frombuffer(b"".join(raw), "<u8") ^ np.repeat(_mix(root.view(np.uint64)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(short, n)), pa.array(np.repeat(n, n))], ["shingle", "u", "n"])
 
     sets = _members(docs, part, k).join(part, ["node", "key"]).select("shingles", "root", "short", "n")
     rows = common.cut(sets.mapInArrow(common.task("words", run), "shingle long, u long, n long"), "grams")
     common.release(docs.sparkSession)
     often = common.cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "often")
-    shared = common.hot_join(rows, often, ["shingle"], "sets", "u")
+    shared = common.hot_join(rows, often, ["shingle"], "sets", "u", table=True)
     rank = F.row_number().over(W.partitionBy("u").orderBy("sets", "shingle"))
     shared = shared.withColumns({"rank": rank, "shared": F.count(F.lit(1)).over(W.partitionBy("u"))})
     before = F.col("shared") + 1 - F.ceil(F.col("n") * percent / 100)
@@ -485,7 +488,7 @@ def narrowed(docs: DataFrame, part: DataFrame, k: int, percent: int) -> DataFram
     common.drop(often)
     common.release(docs.sparkSession)
     least = common.cut(early.groupBy("shingle").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("sets")).where("sets > 1"), "least")
-    found = common.components(common.hot_join(early, least, ["shingle"], "sets", "u").where("u <> v").select("u", "v"))
+    found = common.components(common.hot_join(early, least, ["shingle"], "sets", "u", table=True).where("u <> v").select("u", "v"))
     groups = common.cut(found.select(F.col("node").alias("short"), "root"), "groups")
     common.release(docs.sparkSession)
     return groups
