@@ -159,20 +159,45 @@ def suffixes(docs: DataFrame, length: int = PASSAGE, gram: int = GRAM) -> DataFr
 
 
 def neighbours(runs: DataFrame) -> DataFrame:
-    """Adds ``before`` and ``after`` to (hash, doc_id, row, place, ...): the contents next to each in the order of them all.
+    """Adds ``before`` and ``after`` to (hash, doc_id, row, place, n, ...): whether those next to each in the order of them all are alike.
 
     Runs are sorted over all tasks by content, then place; the key is unique, so that copies of a common run spread
-    over as many tasks as they fill. Each task tells its neighbours its first and last content, two numbers a task.
+    over as many tasks as they fill. Each is compared in the task that sorts it, and one that is like neither neighbour
+    and stands for itself (``n``) goes no further. Each task tells its neighbours its first and last content, two
+    numbers a task.
     """
     order = ["hash", "doc_id", "row", "place"]
-    dealt = common.cut(runs.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sorted")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, alike = None, None  # a batch, and whether its first run is like the one before: none, at a task's first
+
+        def told(after: bool | None) -> pa.RecordBatch:
+            key = held.column("hash").to_numpy()
+            inside = (key[1:] == key[:-1]).tolist()
+            own = pa.RecordBatch.from_arrays([*held.columns, pa.array([alike, *inside], pa.bool_()), pa.array([*inside, after], pa.bool_())], [*held.schema.names, "before", "after"])
+            edges = [own.column(c).fill_null(True).to_numpy(zero_copy_only=False) for c in ("before", "after")]
+            return own.filter(pa.array(edges[0] | edges[1] | (held.column("n").to_numpy() > 1)))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                same = held.column("hash")[-1].as_py() == batch.column("hash")[0].as_py()
+                yield told(same)
+                alike = same
+            held = batch
+        if held is not None:
+            yield told(None)
+
+    schema = ", ".join(f"{c} {t}" for c, t in runs.dtypes)
+    dealt = runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(common.task("words", compare), f"{schema}, before boolean, after boolean")
+    dealt = common.cut(dealt.withColumn("part", F.spark_partition_id()), "sorted")
     by_part = W.orderBy("part")
     edges = dealt.groupBy("part").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
     edges = edges.select("part", F.lag("high").over(by_part).alias("outer_before"), F.lead("low").over(by_part).alias("outer_after"))
-    inside = W.partitionBy("part").orderBy(*order)
-    found = dealt.withColumns({"before": F.lag("hash").over(inside), "after": F.lead("hash").over(inside)})
-    found = found.join(F.broadcast(edges), "part")  # one row a partition
-    return found.withColumns({"before": F.coalesce("before", "outer_before"), "after": F.coalesce("after", "outer_after")}).drop("part", "outer_before", "outer_after")
+    found = dealt.join(F.broadcast(edges), "part")  # one row a partition
+    at_edge = lambda c: F.coalesce(c, F.col("hash") == F.col(f"outer_{c}"), F.lit(False))
+    return found.withColumns({c: at_edge(c) for c in ("before", "after")}).drop("part", "outer_before", "outer_after")
 
 
 def _matches(found: DataFrame) -> DataFrame:
@@ -180,7 +205,8 @@ def _matches(found: DataFrame) -> DataFrame:
 
     Suffixes that are wholly alike are counted as one, with the earliest place. Where an anchor has one kind of suffix
     only, that decides; else each run of one suffix of each kind is compared with its neighbours. So no step gathers
-    the copies of a common passage, nor the suffixes that begin with it.
+    the copies of a common passage, nor the suffixes that begin with it. What a run's suffix is goes by its place, and
+    is joined to the masks again: there are many more runs than suffixes.
     """
     blocks = found.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("least"), F.first("runs").alias("runs"))
     blocks = common.cut(blocks.select("anchor", "block", "n", "least.doc_id", "least.row", "least.at", "runs"), "blocks")
@@ -194,13 +220,13 @@ def _matches(found: DataFrame) -> DataFrame:
     place = F.xxhash64("row", "at")
     marked = common.bit_table(kinds.select(place))
     one = common.maybe_in(found.select("row", "doc_id", "at", "hashes"), place, marked, "marked").where("marked").drop("marked")
-    runs = one.join(kinds, ["row", "at"]).select("anchor", "block", "n", "doc_id", "row", "at", F.posexplode("hashes").alias("offset", "hash"))
+    runs = one.join(kinds.select("n", "row", "at"), ["row", "at"]).select("n", "doc_id", "row", "at", F.posexplode("hashes").alias("offset", "hash"))
     runs = neighbours(runs.withColumn("place", F.col("at") + F.col("offset")))
     common.release(found.sparkSession)
-    opens = F.coalesce(F.col("before") != F.col("hash"), F.lit(True))
-    copied = (F.col("n") > 1) | ~opens | F.coalesce(F.col("after") == F.col("hash"), F.lit(False))
-    hit = runs.where(copied).withColumns({"bit": bit("offset"), "opens": opens})
-    masks = hit.groupBy("anchor", "block", "n", "row", "at").agg(F.bit_or("bit").alias("repeated"), F.bit_or(F.when(F.col("opens"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("earliest"))
+    copied = (F.col("n") > 1) | F.col("before") | F.col("after")
+    hit = runs.where(copied).withColumns({"bit": bit("offset"), "opens": ~F.col("before")})
+    masks = hit.groupBy("row", "at").agg(F.bit_or("bit").alias("repeated"), F.bit_or(F.when(F.col("opens"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("earliest"))
+    masks = kinds.join(masks, ["row", "at"]).select("anchor", "block", "n", "row", "at", "repeated", "earliest")
     return common.cut(alike.unionAll(masks), "masks")
 
 
