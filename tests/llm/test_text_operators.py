@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -280,6 +280,28 @@ def test_repeated_passages(spark, length, gram):
     assert suffixes.repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_runs_like_neither_neighbour_go_no_further(spark, batch):
+    rng = random.Random(batch)
+    rows = [(rng.choice((i - 500, 7, 8, rng.randrange(300))), i % 9, i, i, rng.choice((1, 1, 1, 2))) for i in range(1000)]
+    copies = Counter(r[0] for r in rows)
+    seen, expected = Counter(), {}
+    for r in sorted(rows):
+        seen[r[0]] += 1
+        expected[r] = (seen[r[0]] > 1, seen[r[0]] < copies[r[0]])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        runs = spark.createDataFrame(rows, "hash long, doc_id long, row long, place long, n long").repartition(5)
+        kept = suffixes.neighbours(runs).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {tuple(r[c] for c in ("hash", "doc_id", "row", "place", "n")): (r["before"], r["after"]) for r in kept}
+    assert len(found) == len(kept) and found == {r: expected[r] for r in found}
+    alone = {r for r in rows if not any(expected[r]) and r[4] == 1}
+    assert set(rows) - alone <= set(found)
+    assert len(alone & set(found)) <= 8  # the first and the last of each of 4 tasks
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 PLAIN = {
